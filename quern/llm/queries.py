@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import golay_simhash
+from . import bottomk, golay_simhash, toxic_segments
 
 QUERIES = {
+    "op2_toxic_segments": toxic_segments.op2,
     "op7_golay_simhash": golay_simhash.op7,
+    "op9_bottomk": bottomk.op9,
 }
 
 ORACLE: dict[str, str] = {}
