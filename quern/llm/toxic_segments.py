@@ -280,6 +280,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return text_docs(docs).mapInArrow(run, "doc_id long, score double, n_passages int, chance double, passages array<struct<start:long,end:long,score:double>>")
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below the threshold."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, float] = {}
+        for batch in batches:
+            yield batch.filter(pa.array([model.probability(evidence(model, t or "", memo)[0]) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
