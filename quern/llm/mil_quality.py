@@ -24,7 +24,7 @@ from .common import ASCII_SPACE, held_out, labelled_sample, table, text_docs
 
 PASSAGE = 64
 #: Labelled rows to learn from, and passages of each in training.
-BOUND, BAG = 8_000, 256
+BOUND, BAG = 6_000, 256
 #: Texts are read in pieces of so many bytes; words are new or seen within a piece.
 PIECE = 1 << 22
 CODE, GATE, BUCKETS = 24, 12, 64
@@ -141,8 +141,11 @@ def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 20, seed: in
     """Adam over batches of 64 bags, with weight decay."""
     rng = np.random.default_rng(seed)
     every = np.concatenate(bags)
-    shift, scale = every.mean(0), 1 / (every.std(0) + 0.05)
-    bags = [np.clip((b - shift) * scale, -4, 4) for b in bags]
+    shift, scale = every.mean(0, dtype=float), 1 / (every.std(0, dtype=float) + 0.05)
+    ends = np.cumsum([len(b) for b in bags])[:-1]
+    every -= shift.astype(every.dtype)
+    every *= scale.astype(every.dtype)
+    bags = np.split(np.clip(every, -4, 4, out=every), ends)  # views: the sample is held once
     shapes = {"we": (FEATURES, CODE), "be": (CODE,), "v": (CODE, GATE), "u": (CODE, GATE), "w": (GATE,), "c": (CODE,), "b": (1,)}
     p = {k: rng.normal(0, 1 / np.sqrt(s[0]), s) if len(s) > 1 or k in "wc" else np.zeros(s) for k, s in shapes.items()}
     m, v, step = {k: np.zeros(s) for k, s in shapes.items()}, {k: np.zeros(s) for k, s in shapes.items()}, 0
@@ -182,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
     if len(set(y)) < 2:
         p = {"we": np.zeros((FEATURES, CODE)), "be": np.zeros(CODE), "v": np.zeros((CODE, GATE)), "u": np.zeros((CODE, GATE)), "w": np.zeros(GATE), "c": np.zeros(CODE), "b": np.array([0.0 if not len(y) else 4.0 if y[0] else -4.0])}
         return Model(np.zeros(FEATURES), np.ones(FEATURES), p)
-    return train([np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES).astype(float) for r in rows], y)
+    return train([np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in rows], y)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
