@@ -159,9 +159,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, bins: int = OPEN_BINS, name:
             yield _batch(rows, flagged)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, context = Packer(capacity, bins), TaskContext.get()
+        context = TaskContext.get()
         sequence = -1 - ((context.partitionId() if context else 0) << 32)
         held = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+        packer = Packer(capacity, max(bins, len(held)))  # largest first opens most bins before any fills
         held.sort(key=lambda r: (-r[3], r[4], r[0] or 0, r[1]))
         rows: list[tuple] = []
         for source in (*(packer.add(r, r[3]) for r in held), packer.finish()):
