@@ -15,6 +15,7 @@ or longer than ``LONGEST``) is encoded in its task by the same rule.  Only disti
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import zlib
 from collections import Counter
@@ -51,6 +52,11 @@ class Pieces:
     def longest(self) -> int:
         return max(map(len, self.normal), default=1)
 
+    @property
+    def splits(self) -> bool:
+        """Whether words can be had by splitting texts at spaces and line feeds."""
+        return self.dummy_prefix and not any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.normal)
+
     @property
     def pattern(self) -> re.Pattern:
         """Words that no piece crosses: cut before a space that follows another character, and around line feeds."""
@@ -99,15 +105,17 @@ def merge(word: str, pieces: Pieces) -> list[int]:
     """BPE by merges, with a heap: the best-scoring adjacent pair first, the leftmost of equals."""
     normal, parts = pieces.normal, list(word)
     if len(parts) <= LONGEST:
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                found = normal.get(parts[i] + parts[i + 1])
-                if found is not None and (best is None or found[1] > best):
-                    best, at = found[1], i
-            if best is None:
-                break
+        none = (0, -math.inf)
+        get = normal.get
+        scores = [get(a + b, none)[1] for a, b in zip(parts, parts[1:])]
+        while scores and (best := max(scores)) > -math.inf:
+            at = scores.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = get(parts[at - 1] + parts[at], none)[1]
+            if at < len(scores):
+                scores[at] = get(parts[at] + parts[at + 1], none)[1]
     else:
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -158,10 +166,45 @@ def words_of(text: str, pieces: Pieces, pattern: re.Pattern) -> list[str]:
     return pattern.findall(SPACE * pieces.dummy_prefix + text.replace(" ", SPACE))
 
 
-def decode(ids: list[int], pieces: Pieces) -> str:
-    """Text of ids; bytes that aren't UTF-8 become U+FFFD."""
-    data = b"".join([pieces.texts[i] for i in ids])
-    return data[1 if pieces.dummy_prefix and data[:1] == b" " else 0 :].decode(errors="replace")
+def keys_of(text: str) -> list[str] | None:
+    """A text's words by splitting alone: ``w`` stands for a word behind one space, ``\\nw`` for a line feed and a word.
+
+    None for texts with runs of spaces, spaces at their ends or around line feeds, or U+2581, whose words need the pattern.
+    """
+    if SPACE in text:
+        return None
+    keys = text.replace("\n", " \n").split(" ")
+    return None if "" in keys else keys
+
+
+def key_of(word: str) -> str | None:
+    """The key that stands for a word (behind its line feed, if it has no space)."""
+    if word[:1] == SPACE:
+        return word[1:] if len(word) > 1 and word[1] != SPACE else None
+    return "\n" + word if word != "\n" else word
+
+
+def words_of_key(key: str) -> list[str]:
+    if key[0] == "\n":
+        return ["\n", key[1:]] if len(key) > 1 else ["\n"]
+    return [SPACE + key]
+
+
+class Decoder:
+    """Text of ids: the bytes of the pieces, one after the other."""
+
+    def __init__(self, pieces: Pieces):
+        size = np.array([len(t) for t in pieces.texts], np.int64)
+        self.size, self.start, self.prefix = size, np.cumsum(size) - size, pieces.dummy_prefix
+        self.data = np.frombuffer(b"".join(pieces.texts), np.uint8)
+
+    def __call__(self, ids: np.ndarray) -> str:
+        """Bytes that aren't UTF-8 become U+FFFD."""
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[ids] - (ends - size), size)
+        data = self.data[at].tobytes()
+        return data[1 if self.prefix and data[:1] == b" " else 0 :].decode(errors="replace")
 
 
 # ---- the lattice
@@ -235,25 +278,33 @@ def word_counts(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """(word, n) over all texts; counted within tasks before they are shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, pattern = Counter(), pieces.pattern
+        keys, found, pattern, splits = Counter(), Counter(), pieces.pattern, pieces.splits
 
         def flush() -> pa.RecordBatch:
+            for key, n in keys.items():
+                for word in words_of_key(key):
+                    found[word] += n
+            keys.clear()
             return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(found.values(), pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                found.update(words_of(text, pieces, pattern))
-                if len(found) > 400_000:
+                own = keys_of(text) if splits and text else None
+                if own:
+                    keys.update(own)
+                else:
+                    found.update(words_of(text, pieces, pattern))
+                if len(found) + len(keys) > 400_000:
                     yield flush()
                     found.clear()
-        if found:
+        if found or keys:
             yield flush()
 
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def dictionary(docs: DataFrame, pieces: Pieces, most: int = DICTIONARY) -> dict[str, bytes]:
-    """The ids (as little-endian 32-bit bytes) of the commonest words, at most ``most`` of them.
+    """The ids (as little-endian 32-bit bytes) of the commonest words, at most ``most`` of them, by key or word.
 
     Words are taken by a least count, found from a histogram of the counts' logarithms, so no task sorts them all.
     """
@@ -269,9 +320,14 @@ def dictionary(docs: DataFrame, pieces: Pieces, most: int = DICTIONARY) -> dict[
         return {}
     solved = solve(counts.where(level >= least).select("word"), pieces).toArrow()  # at most ``most`` rows
     out: dict[str, bytes] = {}
+    feed = np.array(pieces.characters([pieces.normal["\n"][0] if "\n" in pieces.normal else -10]), "<u4").tobytes()
     for batch in solved.to_batches(20_000):
         for word, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            out[word] = np.array(pieces.characters(ids), "<u4").tobytes()
+            found = np.array(pieces.characters(ids), "<u4").tobytes()
+            if not pieces.splits:
+                out[word] = found
+            elif (key := key_of(word)) is not None:
+                out[key] = found if key == "\n" or word[0] == SPACE else feed + found
     return out
 
 
@@ -290,23 +346,28 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, most: int = DICTIONARY
     schema = "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern, common, memo = pieces.pattern, known.value, {}
+        pattern, common, memo, splits, decode = pieces.pattern, known.value, {}, pieces.splits, Decoder(pieces)
 
-        def rare(word: str) -> bytes:
-            found = memo.get(word)
+        def rare(word: str, key: bool) -> bytes:
+            found = memo.get((word, key))
             if found is None:
                 if len(memo) > 100_000:
                     memo.clear()
-                found = memo[word] = np.array(single(word, pieces), "<u4").tobytes()
+                ids = [i for w in (words_of_key(word) if key else [word]) for i in single(w, pieces)]
+                found = memo[word, key] = np.array(ids, "<u4").tobytes()
             return found
 
         for whole in batches:
             for k in range(0, whole.num_rows, MAX_BATCH):
                 batch, out = whole.slice(k, MAX_BATCH), []
                 for text in batch.column(1).to_pylist():
-                    raw = b"".join([common.get(w) or rare(w) for w in words_of(text, pieces, pattern)])
+                    own = keys_of(text) if splits and text else None
+                    if own:
+                        raw = b"".join([common.get(w) or rare(w, True) for w in own])
+                    else:  # the dictionary's keys are words themselves where a model's words can't be split off
+                        raw = b"".join([(not splits and common.get(w)) or rare(w, False) for w in words_of(text, pieces, pattern)])
                     ids = np.frombuffer(raw, "<u4")
-                    same = decode(ids.tolist(), pieces) == text.replace(SPACE, " ")
+                    same = decode(ids) == text.replace(SPACE, " ")
                     out.append((len(ids), zlib.crc32(raw), same, ids.astype(np.int32) if with_ids else None))
                 kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.list_(pa.int32())] * with_ids]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], names=[c.split()[0] for c in schema.split(", ")])
@@ -319,8 +380,9 @@ def decode_all(encoded: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     pieces = pieces or load()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = Decoder(pieces)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decode(i or [], pieces) for i in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decode(np.array(i or [], np.int64)) for i in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
 

@@ -33,6 +33,24 @@ def test_words_in_a_task_against_the_library(words):
         assert pl.merge(w, PIECES) == library(w), w
 
 
+def test_long_and_short_words_merge_alike(words, monkeypatch):
+    short = [pl.merge(w, PIECES) for w in words if len(w) <= pl.LONGEST]
+    monkeypatch.setattr(pl, "LONGEST", 0)
+    assert short == [pl.merge(w, PIECES) for w in words if len(w) <= 48]
+
+
+def test_keys_stand_for_the_pattern_s_words():
+    rng = random.Random(5)
+    for _ in range(500):
+        text = "".join(rng.choices(["a", "bc", " ", "\n", "é", "▁"], k=rng.randint(1, 12)))
+        keys = pl.keys_of(text)
+        words = pl.words_of(text, PIECES, PIECES.pattern)
+        if keys is not None:
+            assert [w for k in keys for w in pl.words_of_key(k)] == words
+        else:
+            assert "  " in f" {text} " or " \n" in text or text[-1] == " " or text[0] == "\n" or "▁" in text
+
+
 def test_lattice_against_the_task(spark, words):
     got = {r.word: PIECES.characters(r.ids) for r in pl.solve(spark.createDataFrame([(w,) for w in words], "word string"), PIECES).collect()}
     assert len(got) > 0.99 * sum(len(w) <= pl.LONGEST for w in words)
