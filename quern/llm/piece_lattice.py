@@ -320,11 +320,12 @@ def dictionary(docs: DataFrame, pieces: Pieces, most: int = DICTIONARY) -> dict[
         return {}
     solved = solve(counts.where(level >= least).select("word"), pieces).toArrow()  # at most ``most`` rows
     out: dict[str, bytes] = {}
+    splits = pieces.splits
     feed = np.array(pieces.characters([pieces.normal["\n"][0] if "\n" in pieces.normal else -10]), "<u4").tobytes()
     for batch in solved.to_batches(20_000):
         for word, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             found = np.array(pieces.characters(ids), "<u4").tobytes()
-            if not pieces.splits:
+            if not splits:
                 out[word] = found
             elif (key := key_of(word)) is not None:
                 out[key] = found if key == "\n" or word[0] == SPACE else feed + found
