@@ -6,8 +6,8 @@
    aggregate (accumulators may be tuples of such parts), combined on the map side;
 2. a step that can be traced otherwise depends on the order of rows: with a declared order it becomes Spark's
    ``aggregate`` over the group's ordered rows; without one it is rejected;
-3. a step that can't be traced (control flow on values) runs in Python: with ``merge``, over parts of each group first
-   and then over the parts' accumulators, so that no task needs a whole large group; without it, over ordered groups.
+3. a step that can't be traced (control flow on values) runs in Python: with ``merge``, row by row within tasks and then
+   over the tasks' accumulators, so that no group is ever held; without it, over ordered groups.
 """
 
 from __future__ import annotations
@@ -15,17 +15,18 @@ from __future__ import annotations
 import ast
 import builtins
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .expressions import Value, binary, call, compare, literal, slice_of
 
-
 Fold = tuple
 
 
@@ -33,8 +34,8 @@ class Untraceable(Exception):
     """The function looks at values that are only known on the executors."""
 
 
-#: Parts of a group that a Python fold with ``merge`` works on side by side.
-PARTS = 32
+#: Keys whose accumulators a task holds before it passes them on.
+HELD_KEYS = 100_000
 
 
 @dataclass(frozen=True, eq=False)
@@ -249,8 +250,26 @@ def python_folds(df: DataFrame, keys: list[str], folds: list[tuple[str, Fold, T.
     if order is not None or any(len(f) < 4 for _, f, _ in folds):
         return df.groupBy(*keys).applyInPandas(lambda key, pdf: pd.DataFrame([[*key, *run(pdf, True)]], columns=out.names), out)
     part = T.StructType([*(df.schema[k] for k in keys), T.StructField("acc", T.BinaryType())])
-    salted = df.withColumn("__part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)))
-    partial = salted.groupBy(*keys, "__part").applyInPandas(lambda key, pdf: pd.DataFrame([[*key[:-1], pickle.dumps(run(pdf, False))]], columns=part.names), part)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Accumulators of the keys that a task meets, row by row, so that no group is ever held."""
+        schema, accs = to_arrow_schema(part), {}
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{**dict(zip(keys, k)), "acc": pickle.dumps(a)} for k, a in accs.items()], schema=schema)
+
+        for batch in batches:
+            for values in batch.to_pylist():
+                key, row = tuple(values[k] for k in keys), _RowView(values)
+                own = accs.get(key) or [f[0] for _, f, _ in folds]
+                accs[key] = [f[1](a, row) for a, (_, f, _) in zip(own, folds)]
+            if len(accs) > HELD_KEYS:
+                yield flush()
+                accs.clear()
+        if accs:
+            yield flush()
+
+    parts = df.mapInArrow(partial, part)
 
     def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         states = [pickle.loads(x) for x in pdf["acc"]]
@@ -259,6 +278,6 @@ def python_folds(df: DataFrame, keys: list[str], folds: list[tuple[str, Fold, T.
             merged = [f[3](a, b) for a, b, (_, f, _) in zip(merged, s, folds)]
         return pd.DataFrame([[*key, *(f[2](a) for a, (_, f, _) in zip(merged, folds))]], columns=out.names)
 
-    return partial.groupBy(*keys).applyInPandas(join, out)
+    return parts.groupBy(*keys).applyInPandas(join, out)  # a row for each key and task that met it
 
 
