@@ -1,5 +1,4 @@
 import numpy as np
-import pytest
 
 from quern.llm import mil_quality as mq
 

@@ -5,7 +5,6 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
-import pytest
 from tokenizers import Tokenizer
 
 from quern.llm import packing as pk
