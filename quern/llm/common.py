@@ -100,4 +100,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, bound: int)
             room = min(rows, bound - other)
         keep = keep | ((F.col("y") == y) & (share < room / rows))
     chosen = known.where(keep)
-    return text_docs(docs).join(F.broadcast(chosen), "doc_id")  # at most about ``bound`` rows of 12 bytes
+    found = text_docs(docs).join(F.broadcast(chosen), "doc_id")  # at most about ``bound`` rows of 12 bytes
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")  # repeated rows count once
