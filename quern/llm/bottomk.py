@@ -26,6 +26,8 @@ from .common import ASCII_SPACE, table
 
 K = 128
 SHINGLE = 5
+#: Ranges of doc_id, at most: their borders go through the driver.
+MOST_RANGES = 20_000
 #: Hashes keep this many bits, six bytes of a fingerprint each.
 BITS = 48
 
@@ -135,8 +137,8 @@ def with_neighbour_ranges(docs: DataFrame) -> DataFrame:
     The ghosts at a range's end are copies of the first document of the range that follows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("place", F.coalesce("doc_id", F.lit(_LEAST)))
-    ranges = max(2, rows.rdd.getNumPartitions())
-    cuts = rows.agg(F.percentile_approx("place", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]
+    ranges = min(MOST_RANGES, max(2, rows.rdd.getNumPartitions()))
+    cuts = rows.agg(F.percentile_approx("place", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]
     cuts = np.unique(np.array(cuts or [], np.int64))
 
     @F.pandas_udf("int")
