@@ -21,6 +21,7 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -48,16 +49,16 @@ class Pieces:
     dummy_prefix: bool
     texts: list[bytes] = field(default_factory=list)
 
-    @property
+    @cached_property
     def longest(self) -> int:
         return max(map(len, self.normal), default=1)
 
-    @property
+    @cached_property
     def splits(self) -> bool:
         """Whether words can be had by splitting texts at spaces and line feeds."""
         return self.dummy_prefix and not any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.normal)
 
-    @property
+    @cached_property
     def pattern(self) -> re.Pattern:
         """Words that no piece crosses: cut before a space that follows another character, and around line feeds."""
         apart = not any("\n" in p for p in self.normal)
