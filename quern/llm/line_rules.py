@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, materialize, table
+from .common import ASCII_SPACE, materialize, slices, table
 
 WINDOW = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
@@ -92,7 +92,7 @@ _MEASURED = "doc_id long, host string, n_words long, word_chars long, n_symbols
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
     names = [c.split()[0] for c in _MEASURED.split(", ")]
-    for batch in batches:
+    for batch in slices(batches):
         found = list(zip(*(measures(t) for t in batch.column(2).to_pylist()))) or [[]] * 7
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(found, kinds))], names=names)
 

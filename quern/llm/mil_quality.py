@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bottomk import word_hashes
-from .common import ASCII_SPACE, held_out, labelled_sample, table, text_docs
+from .common import ASCII_SPACE, held_out, labelled_sample, slices, table, text_docs
 
 PASSAGE = 64
 #: Labelled rows to learn from, and passages of each in training.
@@ -196,7 +196,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [model.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in found], k) for i, k in enumerate((pa.float64(), pa.int64(), pa.int64())))], names=["doc_id", "score", "n_passages", "top_passage"])
 
@@ -208,7 +208,7 @@ def of_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([model.score(t or "")[0] >= threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

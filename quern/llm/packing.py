@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BATCH, materialize, table, text_docs
+from .common import materialize, slices, table, text_docs
 
 CAPACITY = 2048
 OPEN_BINS = 1024
@@ -137,19 +137,17 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, bins: int = OPEN_BINS, name:
             rows.extend((*item[:5], sequence, offset, *item[5:], left_open) for item, offset in own)
             sequence += 1
 
-        for whole in batches:
-            for k in range(0, whole.num_rows, MAX_BATCH):
-                batch = whole.slice(k, MAX_BATCH)
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    ids = np.append(encode(text), np.uint32(END)).astype("<u4", copy=False)
-                    for piece, (start, length) in enumerate(cut(len(ids), capacity)):
-                        part = ids[start : start + length]
-                        item = (doc_id, piece, start, length, zlib.crc32(part.tobytes()), *([part.astype(np.int32)] * with_ids))
-                        for own in packer.add(item, length):
-                            put(own, False)
-                if rows:
-                    yield _batch(rows, flagged)
-                    rows.clear()
+        for batch in slices(batches):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = np.append(encode(text), np.uint32(END)).astype("<u4", copy=False)
+                for piece, (start, length) in enumerate(cut(len(ids), capacity)):
+                    part = ids[start : start + length]
+                    item = (doc_id, piece, start, length, zlib.crc32(part.tobytes()), *([part.astype(np.int32)] * with_ids))
+                    for own in packer.add(item, length):
+                        put(own, False)
+            if rows:
+                yield _batch(rows, flagged)
+                rows.clear()
         for own in packer.finish():
             put(own, True)
             if len(rows) > 10_000:

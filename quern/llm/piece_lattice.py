@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MAX_BATCH, materialize, table, text_docs
+from .common import materialize, slices, table, text_docs
 
 #: Words solved relationally, at most, and their greatest length.
 DICTIONARY, LONGEST = 300_000, 48
@@ -359,20 +359,19 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, most: int = DICTIONARY
                 found = memo[word, key] = np.array(ids, "<u4").tobytes()
             return found
 
-        for whole in batches:
-            for k in range(0, whole.num_rows, MAX_BATCH):
-                batch, out = whole.slice(k, MAX_BATCH), []
-                for text in batch.column(1).to_pylist():
-                    own = keys_of(text) if splits and text else None
-                    if own:
-                        raw = b"".join([common.get(w) or rare(w, True) for w in own])
-                    else:  # the dictionary's keys are words themselves where a model's words can't be split off
-                        raw = b"".join([(not splits and common.get(w)) or rare(w, False) for w in words_of(text, pieces, pattern)])
-                    ids = np.frombuffer(raw, "<u4")
-                    same = decode(ids) == text.replace(SPACE, " ")
-                    out.append((len(ids), zlib.crc32(raw), same, ids.astype(np.int32) if with_ids else None))
-                kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.list_(pa.int32())] * with_ids]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], names=[c.split()[0] for c in schema.split(", ")])
+        for batch in slices(batches):
+            out = []
+            for text in batch.column(1).to_pylist():
+                own = keys_of(text) if splits and text else None
+                if own:
+                    raw = b"".join([common.get(w) or rare(w, True) for w in own])
+                else:  # the dictionary's keys are words themselves where a model's words can't be split off
+                    raw = b"".join([(not splits and common.get(w)) or rare(w, False) for w in words_of(text, pieces, pattern)])
+                ids = np.frombuffer(raw, "<u4")
+                same = decode(ids) == text.replace(SPACE, " ")
+                out.append((len(ids), zlib.crc32(raw), same, ids.astype(np.int32) if with_ids else None))
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.list_(pa.int32())] * with_ids]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], names=[c.split()[0] for c in schema.split(", ")])
 
     return rows.mapInArrow(run, schema)
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bottomk
-from .common import MAX_BATCH, held_out, labelled_sample, table, text_docs
+from .common import held_out, labelled_sample, slices, table, text_docs
 
 _TOKEN = re.compile(r"\w+")
 #: Lengths of the prefixes that a rare token backs off to, and the number of training documents that make it common.
@@ -166,7 +166,7 @@ def evidence(model: Model, text: str, memo: dict[str, float]) -> tuple[float, fl
     for i, t in enumerate(tokens):
         s = get(t)
         if s is None:
-            if len(memo) > 500_000:
+            if len(memo) > 200_000:
                 memo.clear()
             s = memo[t] = model.score(t)
         if s:
@@ -263,19 +263,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, float] = {}
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-        for whole in batches:
-            for k in range(0, whole.num_rows, MAX_BATCH):
-                batch, scores, passages, chances = whole.slice(k, MAX_BATCH), [], [], []
-                for text in batch.column(1).to_pylist():
-                    total, chance, found, _ = evidence(model, text, memo)
-                    scores.append(model.probability(total))
-                    chances.append(chance)
-                    if found:
-                        places = [m.span() for m in _TOKEN.finditer(lowered(text))]
-                        passages.append([{"start": places[a][0], "end": places[b - 1][1], "score": s} for a, b, s in found])
-                    else:
-                        passages.append([])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(map(len, passages), pa.int32()), pa.array(chances, pa.float64()), pa.array(passages, kind)], names=["doc_id", "score", "n_passages", "chance", "passages"])
+        for batch in slices(batches):
+            scores, passages, chances = [], [], []
+            for text in batch.column(1).to_pylist():
+                total, chance, found, _ = evidence(model, text, memo)
+                scores.append(model.probability(total))
+                chances.append(chance)
+                if found:
+                    places = [m.span() for m in _TOKEN.finditer(lowered(text))]
+                    passages.append([{"start": places[a][0], "end": places[b - 1][1], "score": s} for a, b, s in found])
+                else:
+                    passages.append([])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(map(len, passages), pa.int32()), pa.array(chances, pa.float64()), pa.array(passages, kind)], names=["doc_id", "score", "n_passages", "chance", "passages"])
 
     return text_docs(docs).mapInArrow(run, "doc_id long, score double, n_passages int, chance double, passages array<struct<start:long,end:long,score:double>>")
 
@@ -286,7 +285,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, float] = {}
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([model.probability(evidence(model, t or "", memo)[0]) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
