@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
     model scores every text by the share of toxic rows.
     """
     sample = labelled_sample(docs, labels, "toxic", bound)
-    sample = sample.withColumn("h", least_shingle("text")).groupBy("h").agg(F.min_by("doc_id", "doc_id").alias("doc_id"), F.first("text").alias("text"), F.max("y").alias("y"))
+    sample = sample.withColumn("h", least_shingle("text")).groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.min_by("text", F.struct("doc_id", "text")).alias("text"), F.max("y").alias("y"))
     apart = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
     sample = sample.select("text", "y", apart.alias("apart")).persist()
     counted = (
