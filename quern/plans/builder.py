@@ -145,6 +145,10 @@ class Query:
     def limit(self, n: int, offset: int = 0) -> Query:
         return self._next(Node("Limit", (self._own("limit"),), lambda df: (df.offset(offset) if offset else df).limit(n), f"{n}" + f" offset {offset}" * bool(offset)))
 
+    def sampled(self, factor: float, seed: int = 12345) -> Query:
+        """About one row of ``factor``."""
+        return self._next(Node("Sample", (self._own("sampled"),), lambda df: ops.sample(df, factor, seed), f"1/{factor}"))
+
     def apply(self, f: Callable[[DataFrame], DataFrame], name: str = "Apply") -> Query:
         """Any other function of a DataFrame."""
         return self._next(Node(name, (self._own("apply"),), f))

@@ -172,6 +172,13 @@ class Database:
         """Applies a function of an iterator of pandas batches to each partition."""
         return self.table(name).mapInPandas(f, schema)
 
+    def files(self, name: str) -> DataFrame:
+        """(path, bytes, tuples) of each file of a relation, from file metadata alone."""
+        rows = self.rows(name)
+        if not self._relation(name)["files"]:
+            return self.spark.createDataFrame([], "path string, bytes long, tuples long")
+        return rows.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("tuples"))
+
     # ---- changes
 
     def insert(self, name: str, *values) -> int:
@@ -289,6 +296,11 @@ class Database:
     def has_index(self, relation: str, key: list[str]) -> bool:
         return self.match_index(relation, key) is not None
 
+    def index(self, index_id: int) -> Index:
+        if index_id not in self.indexes:
+            raise ValueError(f"no index {index_id}")
+        return self.indexes[index_id]
+
     def match_index(self, relation: str, key: list[str]) -> int | None:
         return next((i.id for i in self.indexes.values() if i.relation == relation and i.key == list(key)), None)
 

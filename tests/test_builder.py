@@ -152,6 +152,7 @@ def test_sampling_and_statistics(spark, db):
     big = Query(db).from_frame(spark.range(20_000).withColumn("age", F.col("id") % 100))
     plan = big.where("age < 30").finalize()
     assert 4000 < plan.sample(10) < 8000
+    assert 1500 < big.sampled(10).frame().count() < 2500
     assert plan.cardinality(estimated=False) == 6000 and plan.selectivity(estimated=False) == 0.3
     assert plan.cost(estimated=False) == 20_000 + 20_000 and plan.cost() > 0 and plan.cardinality() > 0
 

@@ -72,6 +72,13 @@ def test_indexes(db):
     assert db.match_index("employee", ["age"]) is None and db.primary("employee").id == primary
 
 
+def test_files(db):
+    assert [r.tuples for r in db.files("employee").collect()] == [10] and db.files("employee").first().bytes > 0
+    db.create_relation("empty", FIELDS)
+    assert db.files("empty").count() == 0 and db.table("empty").count() == 0
+    assert db.index(db.create_index("employee", ["age"])).key == ["age"]
+
+
 def test_unique_index_needs_unique_keys(db):
     db.insert("employee", 1, 1, 1.0)
     with pytest.raises(ValueError):
