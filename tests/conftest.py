@@ -1,3 +1,5 @@
+import tempfile
+
 import pytest
 from pyspark.sql import SparkSession
 
@@ -8,7 +10,7 @@ def spark():
         SparkSession.builder.master("local[4]").appName("tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false").config("spark.driver.memory", "4g").config("spark.driver.host", "127.0.0.1")
-        .config("spark.sql.warehouse.dir", "/tmp/quern-warehouse")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="quern-warehouse-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
