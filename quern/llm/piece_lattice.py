@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -53,6 +54,14 @@ class Pieces:
     def longest(self) -> int:
         return max(map(len, self.normal), default=1)
 
+    @cached_property
+    def scores(self) -> dict[str, float]:
+        return {p: s for p, (_, s) in self.normal.items()}
+
+    @cached_property
+    def ids(self) -> dict[str, int]:
+        return {p: i for p, (i, _) in self.normal.items()}
+
     @cached_property
     def splits(self) -> bool:
         """Whether words can be had by splitting texts at spaces and line feeds."""
@@ -106,17 +115,16 @@ def merge(word: str, pieces: Pieces) -> list[int]:
     """BPE by merges, with a heap: the best-scoring adjacent pair first, the leftmost of equals."""
     normal, parts = pieces.normal, list(word)
     if len(parts) <= LONGEST:
-        none = (0, -math.inf)
-        get = normal.get
-        scores = [get(a + b, none)[1] for a, b in zip(parts, parts[1:])]
-        while scores and (best := max(scores)) > -math.inf:
+        none, get = -math.inf, pieces.scores.get
+        scores = [get(a + b, none) for a, b in zip(word, word[1:])]
+        while scores and (best := max(scores)) > none:
             at = scores.index(best)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            parts[at] = both = parts[at] + parts.pop(at + 1)
             del scores[at]
             if at:
-                scores[at - 1] = get(parts[at - 1] + parts[at], none)[1]
+                scores[at - 1] = get(parts[at - 1] + both, none)
             if at < len(scores):
-                scores[at] = get(parts[at] + parts[at + 1], none)[1]
+                scores[at] = get(both + parts[at + 1], none)
     else:
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -139,7 +147,8 @@ def merge(word: str, pieces: Pieces) -> list[int]:
             push(i)
             push(before[i])
         parts = [p for p in parts if p]
-    return pieces.characters([normal[p][0] if p in normal else -ord(p) for p in parts])
+    ids = list(map(pieces.ids.get, parts))
+    return ids if None not in ids else pieces.characters([-ord(p) if i is None else i for p, i in zip(parts, ids)])
 
 
 def viterbi(word: str, pieces: Pieces) -> list[int]:
@@ -356,7 +365,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, most: int = DICTIONARY
                 if len(memo) > 100_000:
                     memo.clear()
                 ids = [i for w in (words_of_key(word) if key else [word]) for i in single(w, pieces)]
-                found = memo[word, key] = np.array(ids, "<u4").tobytes()
+                found = memo[word, key] = struct.pack(f"<{len(ids)}I", *ids)
             return found
 
         for batch in slices(batches):
