@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import golay_simhash, mil_quality, packing, toxic_segments
+from quern.llm import golay_simhash, mil_quality, packing, resemblance, toxic_segments
 from quern.llm.common import materialize, table
 
 
@@ -25,8 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
-    return golay_simhash.one_of_each_group(docs)
+    """Keeps one document of each group of near-duplicates: five-word shingles, Jaccard similarity 0.8 or more."""
+    return golay_simhash.one_of_each_group(docs, resemblance.near_duplicates)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

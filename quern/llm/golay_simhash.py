@@ -22,7 +22,7 @@ never all pairs.  Components come from large-star/small-star rounds over the lin
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import accumulate, combinations
 
@@ -265,16 +265,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each_group(docs: DataFrame) -> DataFrame:
+def one_of_each_group(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stand for their component: those with its smallest doc_id.
 
-    Of rows with equal doc_id and text one stays.  Rows without a doc_id stay only where no row of their component has
+    ``grouped`` gives the component_id of (doc_id, text); by default components are of fingerprints within three bits.  Of rows with equal doc_id and text one stays.  Rows without a doc_id stay only where no row of their component has
     one.  Texts are shuffled once, to meet the ids that stay.
     """
     key, text_hash = "__quern_key", "__quern_text"
     unnamed = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), unnamed))
-    groups = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"))
+    groups = grouped(keyed.select(F.col(key).alias("doc_id"), "text"))
     chosen = groups.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
     stay = keyed.join(chosen, key, "left_semi").withColumn(text_hash, F.xxhash64("text"))
     return stay.dropDuplicates([key, text_hash]).select(*docs.columns)
