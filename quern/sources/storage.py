@@ -47,24 +47,40 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where set, /tmp/checkpoints in a local session, else the warehouse."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` where the session has one.
+
+    Where it is unset a local session gets ``/tmp/checkpoints``, and a cluster its warehouse, which must then be in a store
+    that all nodes reach: a ``file:`` path is refused.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
         return "file:///tmp/checkpoints"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    fs, _ = filesystem(spark, root)
+    if fs.getScheme() == "file":
+        raise ValueError("set spark.checkpoint.dir to a folder that all nodes share: the warehouse is local to each")
+    return f"{root}/_shared"
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in shared storage, removed when the driver ends."""
-    path = f"{shared_root(spark)}/quern-{uuid.uuid4().hex}"
+#: Scratch folders of this process, removed when it ends.
+_made: dict[str, SparkSession] = {}
+
 
-    def drop() -> None:
+def _drop_all() -> None:
+    for path, spark in _made.items():
         try:
             delete(spark, path)
         except Exception:  # the session may be gone already
             pass
 
-    atexit.register(drop)
+
+atexit.register(_drop_all)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in shared storage, removed when the driver ends."""
+    path = f"{shared_root(spark)}/quern-{uuid.uuid4().hex}"
+    _made[path] = spark
     return path
