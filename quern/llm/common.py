@@ -2,65 +2,63 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import storage
+from ..sources.storage import filesystem
+
 #: Bytes of the white space that separates words: \x20 and \x09-\x0D.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
-#: Rows handed to Python at a time; keeps a batch of long texts within a few dozen MB.
-MAX_BATCH = 1000
+#: Rows, and bytes of their texts, that are Python objects at a time.
+MAX_BATCH, MAX_BYTES = 1000, 16 << 20
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = MAX_BATCH) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of at most ``rows`` rows, so that few texts are Python objects at a time."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = MAX_BATCH, size: int = MAX_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows and, beyond a single row, ``size`` bytes of text."""
     for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
+        n = batch.num_rows
+        if n <= rows and batch.nbytes <= size:
+            if n:
+                yield batch
+            continue
+        lengths = np.zeros(n, np.int64)
+        for c in batch.columns:
+            if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) or pa.types.is_binary(c.type):
+                lengths += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths)
+        at = 0
+        while at < n:
+            stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+            stop = max(at + 1, min(at + rows, stop))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+def fresh(taken: list[str], *stems: str) -> list[str]:
+    """Names like the stems that no column has, whatever its case."""
+    known, out = {c.lower() for c in taken}, []
+    for stem in stems:
+        name = f"__quern_{stem}"
+        while name in known:
+            name += "_"
+        known.add(name)
+        out.append(name)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where the session has one.
-
-    Where it is unset a local session gets ``/tmp/checkpoints``; a cluster falls back to the warehouse,
-    which all its nodes reach.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return "file:///tmp/checkpoints"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-
-
-def filesystem(spark: SparkSession, path: str):
-    """Hadoop's (FileSystem, Path) of a path, whatever store it is in."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in shared storage, removed when the driver ends."""
-    path = f"{shared_root(spark)}/quern-{uuid.uuid4().hex}/{label}"
-
-    def drop() -> None:
-        try:
-            fs, p = filesystem(spark, path)
-            fs.delete(p.getParent(), True)
-        except Exception:  # the session may be gone already: nothing is left to clean with
-            pass
-
-    atexit.register(drop)
-    return path
+    return f"{storage.scratch(spark)}/{label}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -71,9 +69,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    fs, p = filesystem(spark, path)
-    fs.delete(p, True)
+def discard(*frames: DataFrame) -> None:
+    """Removes what ``materialize`` has written for frames that are no longer read."""
+    for df in frames:
+        for path in {f.rsplit("/", 2)[0] for f in df.inputFiles()}:
+            if "/quern-" in path:
+                storage.delete(df.sparkSession, path)
 
 
 def held_out(doc_id: Column) -> Column:
