@@ -7,13 +7,16 @@ driver loop over files.  Shards of at least half the target are final.
 
 Every change is a new manifest ``_manifests/v<number>.json``: written under another name and renamed without overwrite,
 so one of two writers of a version wins and readers see whole manifests only.  The loser takes the winner's version and
-tries again.  Shards never change; those that no kept manifest names are removed by ``vacuum``.  A task that is lost is
-run again by Spark's commit protocol; a driver that dies leaves files that no manifest names.
+tries again.  The rename is atomic on HDFS and like stores; on local files Hadoop looks first and renames then, so
+there one writer at a time is safe.  Shards never change, and every version stays readable until ``vacuum`` is asked to
+remove old ones.  A task that is lost is run again by Spark's commit protocol; files that a dead driver has left are in no
+manifest, are never read, and go with a ``vacuum`` once they are older than its age.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -21,10 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import filesystem, scratch, table
+from .common import filesystem, fresh, scratch, table
 
 TARGET, LEAST, FAN = 128 << 20, 1 << 20, 8
-_ARRIVAL = "__quern_arrival"
+#: Files younger than this may be a writer's that has not committed yet.
+AGE_S = 24 * 3600.0
 
 
 @dataclass(frozen=True)
@@ -127,18 +131,37 @@ class Store:
         counted = self.spark.read.schema(schema).parquet(folder).groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count("*").alias("n")).collect()
         return sorted((Shard(files[r["name"]][0], r["n"], files[r["name"]][1]) for r in counted), key=lambda s: s.path)
 
+    def _as_stored(self, df: DataFrame) -> DataFrame:
+        """The frame with its columns as the store has them; refuses other names or types."""
+        now = self.manifest()
+        if now is None:
+            return df
+        schema = T.StructType.fromJson(json.loads(now.schema))
+        kinds = lambda fields: {f.name: f.dataType.simpleString() for f in fields}
+        if kinds(df.schema) != kinds(schema):
+            raise ValueError(f"the store has {schema.simpleString()}, the arrival {df.schema.simpleString()}")
+        return df.select(*(F.col(f"`{n}`") for n in schema.names))
+
     def append(self, df: DataFrame) -> Manifest:
-        """Adds an arrival: one small shard from each task that has rows."""
+        """Adds an arrival: one small shard from each task that has rows.
+
+        The first arrival gives the store its columns; a later one with other names or types is refused, their order
+        doesn't matter.  Nulls, empty and very long values and repeated rows are kept as they are.  An empty arrival makes a version
+        without new shards.
+        """
+        df = self._as_stored(df)
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(folder)
         return self._change(df.schema.json(), set(), self._shards(folder, df.schema))
 
     def append_by(self, df: DataFrame, arrival: F.Column) -> list[Manifest]:
-        """Adds several arrivals, one version each in order of ``arrival``, whose shards one job has written."""
+        """Adds several arrivals, one version each in order of ``arrival`` (an integer), whose shards one job has written."""
+        df = self._as_stored(df)
+        (name,) = fresh(df.columns, "arrival")
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        df.withColumn(_ARRIVAL, arrival).write.option("compression", "zstd").option("maxRecordsPerFile", 0).partitionBy(_ARRIVAL).parquet(folder)
+        df.withColumn(name, arrival).write.option("compression", "zstd").option("maxRecordsPerFile", 0).partitionBy(name).parquet(folder)
         fs, path = filesystem(self.spark, folder)
-        own = sorted((s.getPath().toString() for s in fs.listStatus(path) if _ARRIVAL in s.getPath().getName()), key=lambda p: int(p.rpartition("=")[2]))
+        own = sorted((s.getPath().toString() for s in fs.listStatus(path) if name in s.getPath().getName()), key=lambda p: int(p.rpartition("=")[2]))
         out = []
         for p in own:
             out.append(self._change(df.schema.json(), set(), self._shards(p, df.schema)))
@@ -172,28 +195,42 @@ class Store:
             new = self._shards(folder, schema)
             if sum(s.rows for s in new) != sum(s.rows for s in old):
                 raise RuntimeError("a merge has lost rows")
+            fs, path = filesystem(self.spark, folder)
             if len(new) >= len(old):  # the session's splits don't allow larger files: leave this tier as it is
+                fs.delete(path, True)
                 stuck.add(full[0])
                 continue
-            self._change(now.schema, {s.path for s in old}, new)
-            self.vacuum()
+            try:
+                self._change(now.schema, {s.path for s in old}, new)
+            except Conflict:  # another writer has merged these shards: look again
+                fs.delete(path, True)
+                continue
             merges += 1
         return merges
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Removes what only versions before the newest ``keep`` name.  Readers of older versions must be done."""
+    def vacuum(self, keep: int = 1, age_s: float = AGE_S) -> int:
+        """Removes all versions but the newest ``keep``, and the files older than ``age_s`` seconds that no version left names.
+
+        Readers of the removed versions must be done.  Returns the number of files removed.
+        """
         known = self.versions()
         needed = {s.path for v in known[-keep:] for s in self.manifest(v).shards}
         for v in known[:-keep]:
-            for s in self.manifest(v).shards:
-                if s.path not in needed:
-                    fs, path = filesystem(self.spark, s.path)
-                    fs.delete(path, False)
             fs, path = filesystem(self.spark, self._manifest_path(v))
             fs.delete(path, False)
+        fs, folder = filesystem(self.spark, f"{self.root}/data")
+        if not fs.exists(folder):
+            return 0
+        removed, last = 0, (time.time() - age_s) * 1000
+        found = fs.listFiles(folder, True)
+        while found.hasNext():
+            status = found.next()
+            if status.getPath().toString() not in needed and status.getModificationTime() <= last:
+                removed += bool(fs.delete(status.getPath(), False))
+        return removed
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, by default the newest."""
+        """The rows of a version, by default the newest; older ones can be read until ``vacuum`` removes them."""
         found = self.manifest(version)
         if found is None:
             raise FileNotFoundError(f"no manifest under {self.root}")
