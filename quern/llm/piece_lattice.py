@@ -35,6 +35,8 @@ from .common import materialize, slices, table, text_docs
 DICTIONARY, LONGEST = 300_000, 48
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
+#: Score of a merge that no piece stands for.
+_NEVER = float("-inf")
 #: What an unknown character costs below the worst piece, in a unigram model.
 UNKNOWN_PENALTY = 10.0
 
@@ -76,7 +78,7 @@ class Pieces:
         return re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if apart else rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
     def characters(self, ids: list[int]) -> list[int]:
-        """Spells out characters without a piece, given as negative code points, in byte pieces."""
+        """Spells out characters without a piece, given as -1 less their code points, in byte pieces."""
         if min(ids, default=0) >= 0:
             return ids
         out: list[int] = []
@@ -84,7 +86,7 @@ class Pieces:
             if i >= 0:
                 out.append(i)
             elif self.byte_ids:
-                out.extend(self.byte_ids[b] for b in chr(-i).encode())
+                out.extend(self.byte_ids[b] for b in chr(-1 - i).encode())
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
         return out
@@ -148,7 +150,7 @@ def merge(word: str, pieces: Pieces) -> list[int]:
             push(before[i])
         parts = [p for p in parts if p]
     ids = list(map(pieces.ids.get, parts))
-    return ids if None not in ids else pieces.characters([-ord(p) if i is None else i for p, i in zip(parts, ids)])
+    return ids if None not in ids else pieces.characters([-1 - ord(p) if i is None else i for p, i in zip(parts, ids)])
 
 
 def viterbi(word: str, pieces: Pieces) -> list[int]:
@@ -165,7 +167,7 @@ def viterbi(word: str, pieces: Pieces) -> list[int]:
     while e:
         k = best[e][1]
         part = word[e - k : e]
-        out.append(pieces.normal[part][0] if part in pieces.normal else -ord(part))
+        out.append(pieces.normal[part][0] if part in pieces.normal else -1 - ord(part))
         e -= k
     return pieces.characters(out[::-1])
 
@@ -237,23 +239,38 @@ def _edge(m: Column, start: Column, end: Column) -> Column:
 
 
 def _ids(m: Column, bounds: Column) -> Column:
-    """Ids of the pieces between bounds; a character without a piece as its negative code point."""
+    """Ids of the pieces between bounds; a character without a piece as -1 less its code point."""
     return F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), lambda i: F.coalesce(
-        _edge(m, F.get(bounds, i), F.get(bounds, i + 1))["id"], -F.ascii(F.col("word").substr(F.get(bounds, i) + 1, F.lit(1)))))
+        _edge(m, F.get(bounds, i), F.get(bounds, i + 1))["id"], -1 - F.ascii(F.col("word").substr(F.get(bounds, i) + 1, F.lit(1)))))
 
 
 def fold_merges(lattice: DataFrame) -> DataFrame:
-    """(word, ids) by merges, the fold for BPE models."""
-    m = F.col("m")
+    """(word, ids) by merges, the fold for BPE models.
 
-    def step(bounds: Column, _: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(0), F.size(bounds) - 3), lambda i: F.struct(_edge(m, F.get(bounds, i), F.get(bounds, i + 2))["score"].alias("s"), (-i).alias("i")))
-        best = F.array_max(F.filter(pairs, lambda p: p["s"].isNotNull()))
-        # a fold over one element, so that the best pair is found once for all bounds
-        return F.when(F.size(bounds) < 3, bounds).otherwise(F.aggregate(F.array(best["i"]), bounds, lambda b, i: F.when(i.isNull(), b).otherwise(F.filter(b, lambda x, k: k != 1 - i))))
-
-    size = F.length("word")
-    bounds = F.aggregate(F.sequence(F.lit(1), size), F.sequence(F.lit(0), size), step)
+    The state holds the bounds of the parts and the score of every merge of two neighbours (None as ``_NEVER``).  A step
+    takes the leftmost best merge and scores the two pairs anew that the merged part is in.
+    """
+    m, size = F.col("m"), F.length("word")
+    score = lambda a, b: F.coalesce(_edge(m, a, b)["score"], F.lit(_NEVER))
+
+    def merged(state: Column, k: Column) -> Column:
+        """Merges the parts at place k (from 1) and the next."""
+        b, s = state["b"], state["s"]
+        before = F.when(k > 1, F.array(score(F.get(b, k - 2), F.get(b, k + 1)))).otherwise(F.array().cast("array<double>"))
+        after = F.when(k < F.size(s), F.array(score(F.get(b, k - 1), F.get(b, k + 2)))).otherwise(F.array().cast("array<double>"))
+        return F.struct(
+            F.concat(F.slice(b, F.lit(1), k), F.slice(b, k + 2, F.size(b))).alias("b"),
+            F.concat(F.slice(s, F.lit(1), F.greatest(k - 2, F.lit(0))), before, after, F.slice(s, k + 2, F.size(s))).alias("s"))
+
+    def step(state: Column, _: Column) -> Column:
+        best = F.array_max(state["s"])
+        # a fold over one element, so that the place of the best merge is found once
+        return F.when(F.coalesce(best, F.lit(_NEVER)) == _NEVER, state).otherwise(
+            F.aggregate(F.array(F.array_position(state["s"], best).cast("int")), state, merged))
+
+    pairs = F.transform(F.sequence(F.lit(0), size - 2), lambda i: score(i, i + 2))
+    start = F.struct(F.sequence(F.lit(0), size).alias("b"), F.when(size > 1, pairs).otherwise(F.array().cast("array<double>")).alias("s"))
+    bounds = F.aggregate(F.sequence(F.lit(1), size), start, step)["b"]
     return lattice.select("word", "m", bounds.alias("bounds")).select("word", _ids(m, F.col("bounds")).alias("ids"))
 
 
@@ -331,7 +348,7 @@ def dictionary(docs: DataFrame, pieces: Pieces, most: int = DICTIONARY) -> dict[
     solved = solve(counts.where(level >= least).select("word"), pieces).toArrow()  # at most ``most`` rows
     out: dict[str, bytes] = {}
     splits = pieces.splits
-    feed = np.array(pieces.characters([pieces.normal["\n"][0] if "\n" in pieces.normal else -10]), "<u4").tobytes()
+    feed = np.array(pieces.characters([pieces.normal["\n"][0] if "\n" in pieces.normal else -11]), "<u4").tobytes()
     for batch in solved.to_batches(20_000):
         for word, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             found = np.array(pieces.characters(ids), "<u4").tobytes()
@@ -347,7 +364,8 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, most: int = DICTIONARY
 
     Null and empty texts have no tokens.  ``round_trip``: decoding the ids gives the text back; U+2581 in a text comes
     back as a space, as it does from the library.  Repeated rows are encoded each; an empty table gives no rows; other
-    columns are left out.  ``ids`` is left out on request.
+    columns are left out.  ``ids`` is left out on request.  Very long texts are encoded whole, a bounded number of bytes of
+    other texts beside them; words beyond ``LONGEST`` characters are merged with a heap.
     """
     spark: SparkSession = docs.sparkSession
     pieces = pieces or load()

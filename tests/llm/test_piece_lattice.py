@@ -11,7 +11,7 @@ from quern.llm import piece_lattice as pl
 
 SP = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
 PIECES = pl.load()
-TRICKY = ["", " ", "  ", "a", " a ", "hello  world\n\nfoo", "\t\x01é漢🙂", "a\n", "\n \n  b", "x" * 200, "the " * 50 + "     end", "____====....", "ÀÉîõü ßñ", "a b", "<0x0A> <s> </s>", "日本語テキスト", "ab" * 500]
+TRICKY = ["", " ", "  ", "a", " a ", "hello  world\n\nfoo", "\t\x01é漢🙂", "a\n", "\n \n  b", "x" * 200, "the " * 50 + "     end", "____====....", "ÀÉîõü ßñ", "a b", "<0x0A> <s> </s>", "日本語テキスト", "ab" * 500, "a\0b", "\0", "\0\0 \0the"]
 
 
 @pytest.fixture(scope="module")
@@ -63,7 +63,7 @@ def test_viterbi_against_all_paths(spark):
     table = {"".join(p): (i + 3, -rng.random() * 9) for i, p in enumerate({tuple(rng.choices("abc", k=rng.randint(1, 4))) for _ in range(30)} - {("c",)})}
     pieces = pl.Pieces(pl.UNIGRAM, table, [], 0, True, [])
     low = min(s for _, s in table.values()) - pl.UNKNOWN_PENALTY
-    words = sorted({"".join(rng.choices("abcé", k=rng.randint(1, 8))) for _ in range(60)})
+    words = sorted({"".join(rng.choices("abcé\0", k=rng.randint(1, 8))) for _ in range(60)})
 
     def brute(w):
         best = None
@@ -75,7 +75,7 @@ def test_viterbi_against_all_paths(spark):
                     s = sum(table[p][1] if p in table else low for p in parts)
                     if best is None or s > best[0]:
                         best = (s, parts)
-        return pieces.characters([table[p][0] if p in table else -ord(p) for p in best[1]])
+        return pieces.characters([table[p][0] if p in table else -1 - ord(p) for p in best[1]])
 
     got = {r.word: pieces.characters(r.ids) for r in pl.solve(spark.createDataFrame([(w,) for w in words], "word string"), pieces).collect()}
     for w in words:
@@ -96,6 +96,16 @@ def test_whole_texts(spark):
     assert pl.encode(docs.limit(0)).count() == 0
 
 
+def test_fuzzed_texts_against_the_library(spark):
+    rng = random.Random(11)
+    kinds = [list("ab \n\0"), list("the in ion "), list("▁ a\t\x01é漢🙂"), [chr(c) for c in range(0x250)]]
+    texts = ["".join(rng.choices(rng.choice(kinds), k=rng.randint(0, 25))) for _ in range(4000)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(-1 - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in pl.encode(docs).collect():  # every word occurs twice at least, so the lattice has it
+        text = texts[r.doc_id if r.doc_id >= 0 else -1 - r.doc_id]
+        assert (r.ids, r.round_trip) == (SP.encode(text), True), text
+
+
 def test_query_against_the_library(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     got = pl.op10(spark, "/root/testdata/sf0.001").collect()
