@@ -66,15 +66,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quern_path = path
+    return out
 
 
 def discard(*frames: DataFrame) -> None:
-    """Removes what ``materialize`` has written for frames that are no longer read."""
+    """Removes what ``materialize`` has written for these frames; nothing that is still to be computed may read them."""
     for df in frames:
-        for path in {f.rsplit("/", 2)[0] for f in df.inputFiles()}:
-            if "/quern-" in path:
-                storage.delete(df.sparkSession, path)
+        path = getattr(df, "_quern_path", None)
+        if path:
+            storage.delete(df.sparkSession, path)
 
 
 def held_out(doc_id: Column) -> Column:

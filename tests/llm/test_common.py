@@ -27,6 +27,21 @@ def test_sample_of_odd_labels(spark):
     assert common.labelled_sample(docs, labels.limit(0), "toxic", 100).count() == 0
 
 
+def test_slices_bound_rows_and_bytes():
+    import pyarrow as pa
+
+    texts = ["a" * n for n in (10, 500, 3, 0, 2000, 7, 7, 7, 90)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(texts)], names=["i", "t"])
+    parts = list(common.slices(iter([batch, batch.slice(0, 0)]), rows=3, size=600))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(10))
+    sizes = [sum(len(t or "") for t in p.column(1).to_pylist()) for p in parts]
+    assert all(p.num_rows <= 3 and (s <= 600 or p.num_rows == 1) for p, s in zip(parts, sizes)) and len(parts) == 5
+
+
+def test_fresh_names():
+    assert common.fresh(["a", "__QUERN_key", "__quern_key_"], "key", "key", "text") == ["__quern_key__", "__quern_key___", "__quern_text"]
+
+
 def test_materialize_cuts_the_plan(spark):
     df = common.materialize(spark.range(100).groupBy((F.col("id") % 3).alias("k")).count(), "t")
     assert df.count() == 3 and "Aggregate" not in df._jdf.queryExecution().executedPlan().toString()
