@@ -80,13 +80,16 @@ def _segments(turn: Column) -> Column:
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """(conv_id, segments, formatted, valid, first_error) of every conversation.
 
-    Turns are ordered by turn, then role and text; null roles and texts count as empty; rows without a turn come first,
-    rows without a conv_id form one conversation.  Repeated rows are turns of their own.  ``valid`` says whether the
+    Turns are ordered by turn, then role and text; null roles and texts count as empty; rows without a turn come first.
+    Rows without a conv_id belong to no conversation that is known, so each is one of its own, with a null conv_id, however
+    many there are.  Repeated rows are turns of their own; very long texts are formatted whole.  ``valid`` says whether the
     machine accepts the roles; ``first_error`` is the number (from 0) of the first turn that it doesn't, else null.
     Invalid conversations are formatted all the same.  An empty table gives no rows; other columns are left out.
     """
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t"))
+    own = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    turns = rows.withColumn("own", own).groupBy("conv_id", "own").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     edges = F.create_map(*(F.lit(x) for a, row in MACHINE.items() for role, b in row.items() for x in (f"{a}>{role}", b)))
 
     def step(state: Column, t: Column) -> Column:
@@ -157,10 +160,12 @@ def oracle() -> str:
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '{PROBE}' UNION ALL SELECT -7, 1, 'assistant', '{PROBE}'
+), o AS (
+  SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own FROM c
 ), n AS (
   SELECT *, row_number() OVER w - 1 AS k, coalesce(lag(role) OVER w, 'start') AS before,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, role DESC, text DESC) AS back
-  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+         row_number() OVER (PARTITION BY conv_id, own ORDER BY turn DESC NULLS LAST, role DESC, text DESC) AS back
+  FROM o WINDOW w AS (PARTITION BY conv_id, own ORDER BY turn NULLS FIRST, role, text)
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
@@ -169,5 +174,5 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sum(length({esc}) + {marks})::BIGINT AS formatted_chars,
        bool_and(before || '>' || role IN ({edges})) AND max(role) FILTER (back = 1) IN ('{"', '".join(ACCEPT)}') AS valid,
        (min(k) FILTER (NOT before || '>' || role IN ({edges})))::INTEGER AS first_error
-FROM n GROUP BY conv_id
+FROM n GROUP BY conv_id, own
 """

@@ -47,6 +47,17 @@ def test_cases(spark):
     assert cf.format_conversations(df.limit(0)).count() == 0
 
 
+def test_rows_without_a_conversation_are_their_own(spark):
+    rows = [(None, i, "user", f"t{i}") for i in range(50)] + [(3, 0, "user", "a"), (3, 1, "assistant", "b")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = cf.digests(cf.format_conversations(df)).collect()
+    assert sorted((str(r.conv_id), r.n_turns) for r in got) == [("3", 2)] + [("None", 1)] * 50
+    con = duckdb.connect()
+    con.register("t", df.toPandas())
+    con.execute("CREATE VIEW conversations AS SELECT conv_id::BIGINT AS conv_id, turn, role, text FROM t")
+    assert sorted((str(r[0]), r[2]) for r in con.execute(cf.oracle()).fetchall() if r[0] != -7) == sorted((str(r.conv_id), r.turns_sha256) for r in got)
+
+
 def test_plan_is_native(spark):
     plan = cf.op5(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
