@@ -17,7 +17,9 @@ share a key are joined (shuffle by key, sorted) and verified by their exact dist
 
 Scale: texts are reduced to one row per distinct fingerprint before any key is made, so a group of exact copies costs
 one row.  Within a key, a group's links are found by breadth-first search and emitted as a star, one row per member and
-never all pairs.  Components come from large-star/small-star rounds over the links, each written to shared storage.
+never all pairs.  A key of more than ``RUN`` fingerprints isn't held in a task: its rows get second keys, one for each of four 16-bit
+blocks, of which a pair within three bits has one in common, and are dealt again.  Components come from
+large-star/small-star rounds over the links, each written to shared storage.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, text_docs
+from .common import discard, fresh, materialize, slices, table, text_docs
 
 SHINGLE = 3
 SEED = 42
@@ -40,6 +42,8 @@ MAX_DISTANCE = 3
 GOLAY = 0b110001110101
 #: (shift, width) of the segments of a fingerprint.
 SEGMENTS = ((43, 21), (22, 21), (0, 22))
+#: Fingerprints of a key that a task compares; those of more common keys are dealt again by second keys.
+RUN = 20_000
 
 
 # ---- fingerprints
@@ -184,69 +188,109 @@ def star(fps: np.ndarray, most: int = MAX_DISTANCE) -> tuple[np.ndarray, np.ndar
     return np.concatenate(roots), np.concatenate(members)
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: verified links of each run of equal keys.  A run may span batches."""
+def _linker(most: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of rows (key, fp) sorted by key, to verified links (a, b) of each run of equal keys; a run may span batches.
 
-    def runs(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(key) < 2:
-            return
-        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[edge, len(key)])
-        pair = edge[size == 2]
-        pair = pair[np.bitwise_count(fp[pair] ^ fp[pair + 1]) <= MAX_DISTANCE]
-        found = [(fp[pair], fp[pair + 1]), *(star(fp[a : a + n]) for a, n in zip(edge[size > 2], size[size > 2]))]
-        a, b = (np.concatenate(x).view(np.int64) for x in zip(*found))
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    With ``most``, runs of more rows are passed on as they are, as (fp, fp, key).
+    """
 
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-        last = int(np.searchsorted(key, key[-1]))
-        if not last and held and held[-1][0][-1] == key[-1]:
-            held.append((key, fp))
-            continue
-        held.append((key[:last], fp[:last]))
-        yield from runs(*(np.concatenate(x) for x in zip(*held)))
-        held = [(key[last:], fp[last:])]
-    if held:
-        yield from runs(*(np.concatenate(x) for x in zip(*held)))
-
-
-def links(distinct: DataFrame) -> DataFrame:
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(a: np.ndarray, b: np.ndarray, key: np.ndarray | None = None) -> pa.RecordBatch:
+            a, b = a.view(np.int64), b.view(np.int64)
+            kept = pa.nulls(len(a), pa.int64()) if key is None else pa.array(key)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), kept], names=["a", "b", "key"])
+
+        def runs(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(key) < 2:
+                return
+            edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[edge, len(key)])
+            pair = edge[size == 2]
+            pair = pair[np.bitwise_count(fp[pair] ^ fp[pair + 1]) <= MAX_DISTANCE]
+            found = [(fp[pair], fp[pair + 1])]
+            for a, n in zip(edge[size > 2], size[size > 2]):
+                if most and n > most:
+                    yield rows(fp[a : a + n], fp[a : a + n], key[a : a + n])
+                else:
+                    found.append(star(fp[a : a + n]))
+            a, b = (np.concatenate(x) for x in zip(*found))
+            if len(a):
+                yield rows(a, b)
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of one key, which may go on
+        n, over = 0, None  # over: a key whose rows are passed on
+        for batch in batches:
+            key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            if over is not None and len(key):
+                k = int(np.searchsorted(key, over, side="right"))
+                if k:
+                    yield rows(fp[:k], fp[:k], key[:k])
+                    key, fp = key[k:], fp[k:]
+            if not len(key):
+                continue
+            over = None
+            last = int(np.searchsorted(key, key[-1]))
+            if last or not held or held[-1][0][-1] != key[-1]:
+                held.append((key[:last], fp[:last]))
+                yield from runs(*(np.concatenate(x) for x in zip(*held)))
+                held, n = [], 0
+            held.append((key[last:], fp[last:]))
+            n += len(key) - last
+            if most and n > most:
+                for k, f in held:
+                    yield rows(f, f, k)
+                held, n, over = [], 0, key[-1]
+        if held:
+            yield from runs(*(np.concatenate(x) for x in zip(*held)))
+
+    return linked
+
+
+def links(distinct: DataFrame, most: int = RUN) -> DataFrame:
     """(a, b): links that connect the distinct fingerprints of ``fp`` as all links within three bits do."""
+    schema = "a long, b long, key long"
+    dealt = lambda rows: rows.repartition("key").sortWithinPartitions("key", "fp")
     keyed = distinct.select("fp").mapInArrow(_keyed, "key long, fp long")
-    return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_linked, "a long, b long").distinct()
+    found = materialize(dealt(keyed).mapInArrow(_linker(most), schema), "links")
+    large = found.where("key IS NOT NULL")
+    out = found.where("key IS NULL").select("a", "b")
+    if not large.isEmpty():
+        blocks = F.array(*(F.xxhash64("key", F.lit(i), F.shiftrightunsigned("a", 16 * i).bitwiseAND(F.lit(65535))) for i in range(4)))
+        again = large.select(F.explode(blocks).alias("key"), F.col("a").alias("fp"))
+        out = out.unionAll(dealt(again).mapInArrow(_linker(None), schema).select("a", "b"))
+    return out.distinct()
 
 
 # ---- components
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, root): the smallest node reachable, for each node of the links (a < b).
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the smallest node reachable, for each node of the links (a < b) that isn't its own root.
 
     Alternates large-star and small-star (Kiveris and others, 2014) until the links stay as they are; every round is
-    written to shared storage.  Rounds grow with the logarithm of the longest path.
+    written to shared storage in place of the one before.  Rounds grow with the logarithm of the longest path.
     """
     edges = materialize(edges, "links")
-    state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    for _ in range(rounds):
-        if not state[0]:
-            break
+    state, before = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first(), None
+    while state[0] and state != before:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("n"), "m").where("n <> m").distinct()
         parent = large.groupBy("n").agg(F.min("m").alias("m"))
         small = large.join(parent.withColumnRenamed("m", "r"), "n").select(F.explode(F.array("n", "m")).alias("n"), "r").where("n <> r")
-        edges = materialize(small.select(F.col("r").alias("a"), F.col("n").alias("b")).distinct(), "links")
+        former, edges = edges, materialize(small.select(F.col("r").alias("a"), F.col("n").alias("b")).distinct(), "links")
+        discard(former)
         before, state = state, edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    out = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    out._quern_path = edges._quern_path
+    return out
+
+
+def named(rooted: DataFrame) -> DataFrame:
+    """``rooted`` (root, rep, ...) with component_id, the smallest rep of a root."""
+    # written, so that the join isn't dealt as the sums are, and a root of many rows can be split
+    least = materialize(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "roots")
+    return rooted.join(least, "root")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -258,29 +302,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     fps = materialize(fingerprints(docs), "fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    found = materialize(components(links(distinct)), "components")
+    found = components(links(distinct))
     rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    ids = rooted.join(least, "root").select("fp", "component_id")
+    ids = named(rooted).select("fp", "component_id")
     return fps.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each_group(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stand for their component: those with its smallest doc_id.
 
-    ``grouped`` gives the component_id of (doc_id, text); by default components are of fingerprints within three bits.  Of rows with equal doc_id and text one stays.  Rows without a doc_id stay only where no row of their component has
+    ``grouped`` gives the component_id of (doc_id, text); by default components are of fingerprints within three bits.  Of
+    rows with equal doc_id and text one stays.  Rows without a doc_id stay only where no row of their component has
     one.  Texts are shuffled once, to meet the ids that stay.
     """
-    key, text_hash = "__quern_key", "__quern_text"
+    key, text_hash = fresh(docs.columns, "key", "text")
     unnamed = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), unnamed))
     groups = grouped(keyed.select(F.col(key).alias("doc_id"), "text"))
     chosen = groups.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
     stay = keyed.join(chosen, key, "left_semi").withColumn(text_hash, F.xxhash64("text"))
-    return stay.dropDuplicates([key, text_hash]).select(*docs.columns)
+    return stay.dropDuplicates([key, text_hash]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     return near_duplicates(table(spark, sf_dir, "documents"))

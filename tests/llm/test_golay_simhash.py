@@ -97,3 +97,20 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 103), (101, 103)], "a long, b long")
     got = {r.node: r.root for r in gs.components(edges).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, 101: 100, 103: 100}
+
+
+def test_common_keys_are_dealt_again(spark):
+    """Runs above the bound get second keys and join the same fingerprints."""
+    rng = random.Random(6)
+    fps = sorted({rng.getrandbits(1) << 60 ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for _ in range(300)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    distinct = spark.createDataFrame([(f,) for f in signed], "fp long").repartition(3)
+    want = plain_components({s: f for s, f in zip(signed, fps)})
+    for most in (5, 40, gs.RUN):
+        found = {r.node: r.root for r in gs.components(gs.links(distinct, most)).collect()}
+        assert {s: found.get(s, s) for s in signed} == want
+
+
+def test_columns_keep_their_values(spark):
+    docs = spark.createDataFrame([(1, "a b c d", 7, "x"), (2, "a b c d", 8, "y"), (None, "q r s", 9, "z")], "doc_id long, text string, __quern_key int, __QUERN_TEXT string")
+    assert sorted(map(tuple, gs.one_of_each_group(docs).collect()), key=str) == sorted([(1, "a b c d", 7, "x"), (None, "q r s", 9, "z")], key=str)
