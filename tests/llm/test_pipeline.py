@@ -4,7 +4,7 @@ import corpus_pipeline as cpl
 from quern.llm import mil_quality, packing, toxic_segments
 from quern.llm.common import table
 
-from .test_golay_simhash import plain_components, plain_fingerprint
+from .test_resemblance import plain_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,7 +15,7 @@ def test_run_against_brute_force(spark):
     toxic, good = toxic_segments.fit(docs, labels), mil_quality.fit(docs, labels)
     left = {i: t for i, t in rows.items() if toxic.probability(toxic_segments.evidence(toxic, t, {})[0]) < 0.5}
     left = {i: t for i, t in left.items() if good.score(t)[0] >= 0.3}
-    of = plain_components({i: plain_fingerprint(t) for i, t in left.items()})
+    of = plain_components(left)
     left = {i: t for i, t in left.items() if of[i] == i}
     assert 0 < len(left) < len(rows)
     encode = packing.encoder()
@@ -29,6 +29,15 @@ def test_run_against_brute_force(spark):
     assert max(bins.values()) <= 2048
 
 
+def test_columns_of_clashing_names_keep_their_values(spark):
+    names = ["__quern_key", "__quern_text", "component_id", "score", "set"]
+    docs = table(spark, SF, "documents").selectExpr("*", *(f"doc_id * 10 + {i} AS {n}" for i, n in enumerate(names)))
+    for _, stage in cpl.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert out.where(" OR ".join(f"{n} <> doc_id * 10 + {i}" for i, n in enumerate(names))).count() == 0 < out.count()
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, "en", "s", 0), (2, "", "en", None, 0), (None, "a b", None, "s", 3), (None, "a b", None, "s", 3), (3, "a b", "en", "s", 3), (3, "a b", "en", "s", 3)]])
 def test_stages_keep_the_columns(spark, rows):
     schema = table(spark, SF, "documents").schema

@@ -1,6 +1,8 @@
 import random
 from itertools import combinations
 
+import numpy as np
+
 import corpus_pipeline as cpl
 from quern.llm import resemblance as rs
 from quern.llm.common import table
@@ -57,17 +59,37 @@ def test_components_against_brute_force(spark):
     assert rs.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_pairs_of_a_key_that_are_of_different_parts():
-    import numpy as np
-    import pyarrow as pa
+def test_blocks_link_what_one_index_links(spark, monkeypatch):
+    """Few shingles a block: clusters are cut, and texts of smaller parts are looked up in every block."""
+    texts = cases()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    whole = rs.groups
+    monkeypatch.setattr(rs, "groups", lambda distinct, docs: whole(distinct, docs, block=500))
+    assert {r.doc_id: r.component_id for r in rs.near_duplicates(docs).collect()} == plain_components(texts)
+
 
+def test_index_against_plain_sets():
     rng = random.Random(5)
-    rows = sorted({(rng.randrange(40), rng.randrange(4), rng.randrange(1000), rng.choice([8, 10, 11])) for _ in range(600)})
-    names = ["key", "part", "set", "n"]
-    batches = [pa.RecordBatch.from_arrays([pa.array(np.array(c)) for c in zip(*rows[k : k + 7])], names=names) for k in range(0, len(rows), 7)]
-    got = sorted(p for b in rs._apart(iter(batches)) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-    want = [sorted((x[2], y[2])) for x, y in combinations(rows, 2) if x[0] == y[0] and x[1] != y[1] and 5 * min(x[3], y[3]) >= 4 * max(x[3], y[3])]
-    assert got == sorted(map(tuple, want))
+    sets = [np.unique(rng.choices(range(60), k=rng.randint(1, 40))) for _ in range(80)] + [np.empty(0, np.int64)]
+    parts = [rng.randrange(9) for _ in sets]
+    index = rs.Index(parts, sets)
+    for s in sets:
+        want = {p for p, t in zip(parts, sets) if p != 4 and 9 * len(set(s) & set(t)) >= 4 * (len(s) + len(t))}
+        assert set(index.parts_like(s, 4).tolist()) == want
+
+
+def test_a_large_group_costs_no_pairs(spark):
+    """Copies of one original, edited more or less: proposals and links stay in proportion to the copies."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    texts = {}
+    for i in range(400):
+        own = list(base)
+        for _ in range(rng.randint(0, 9)):
+            own[rng.randrange(150)] = f"x{rng.random()}"
+        texts[i] = " ".join(own)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in rs.near_duplicates(docs).collect()} == plain_components(texts)
 
 
 def test_no_similar_pair_survives_the_stage(spark):
