@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import golay_simhash, mil_quality, packing, resemblance, toxic_segments
-from quern.llm.common import materialize, table
+from quern.llm.common import discard, materialize, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: five-word shingles, Jaccard similarity 0.8 or more."""
+    """Keeps one document of each group of near-duplicates: five-word shingles, Jaccard similarity 0.8 or more.
+
+    SimHash fingerprints of the shingles and their Golay keys propose the links within three bits, minimum hashes those
+    beyond; all links are verified.
+    """
     return golay_simhash.one_of_each_group(docs, resemblance.near_duplicates)
 
 
@@ -44,5 +48,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        read, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(read)
     return STAGES[-1][1](spark, docs, sf_dir)
