@@ -1,6 +1,8 @@
 import re
 
 import duckdb
+import numpy as np
+from pyspark.sql import functions as F
 
 from quern.llm import url_reputation as ur
 
@@ -31,7 +33,7 @@ def test_rules_against_plain_matching(spark):
 
 
 def test_domains(spark):
-    want = {"a.b.example.com": ("example.com", "com"), "x.y.co.uk": ("y.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "host": ("host", "host"), "": ("", ""), "a.de": ("a.de", "de")}
+    want = {"a.b.example.com": ("example.com", "com"), "x.y.co.uk": ("y.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "host": ("host", "host"), "": ("", ""), "a.de": ("a.de", "de"), "10.0.0.1": ("10.0.0.1", "ip"), "[::1]": ("[::1]", "ip"), "1.2.3.4.com": ("4.com", "com")}
     df = spark.createDataFrame([(h,) for h in want], "host string")
     got = {r[0]: (r[1], r[2]) for r in df.select("host", ur.domain_of(df.host), ur.suffix_of(df.host)).collect()}
     assert got == want
@@ -39,12 +41,38 @@ def test_domains(spark):
 
 def test_shrinkage(spark):
     rows = [("bad.a.com", 1)] * 200 + [("new.a.com", None)] + [("one.b.net", 1)] + [(f"g{i}.b.net", 0) for i in range(50) for _ in range(20)] + [("bad2.a.com", 1)] * 50
-    got = {r.host: r for r in ur.reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
+    got = {r.site: r for r in ur.reputation(spark.createDataFrame(rows, "site string, bad int")).collect()}
     assert got["bad.a.com"].bound > 0.9 > got["one.b.net"].bad_rate
     assert got["new.a.com"].bad_rate > 0.6 > 0.1 > got["g1.b.net"].bad_rate
     assert all(0 <= r.bad_rate <= 1 and r.bound <= r.bad_rate for r in got.values())
 
 
+def test_quantile_against_the_integral(spark):
+    cases = [(a, b) for a in (1.0, 2.5, 10.0, 80.0, 900.0) for b in (1.0, 4.0, 30.0, 500.0)]
+    got = spark.createDataFrame(cases, "a double, b double").select("a", "b", ur.beta_quantile(F.col("a"), F.col("b")).alias("q")).collect()
+    x = (np.arange(400_000) + 0.5) / 400_000
+    for a, b, q in got:
+        log = (a - 1) * np.log(x) + (b - 1) * np.log1p(-x)
+        weight = np.exp(log - log.max())
+        want = x[np.searchsorted(np.cumsum(weight) / weight.sum(), ur.LEVEL)]
+        assert -0.001 < want - q < (0.06 if min(a, b) < 4 else 0.003), (a, b, q, want)
+
+
+def test_ports_users_and_addresses_share_a_reputation(spark):
+    urls = ["http://bad.net/x", "http://bad.net:8080/y", "http://me@bad.net/z", "http://10.0.0.1:80/", "http://10.0.0.2/", "http://[::1]:80/a", "http://good.net/" + "p" * 200_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    outcomes = spark.createDataFrame([("bad.net:81", 1)] * 40 + [("10.0.0.1", 1)] * 40 + [("good.net", 0)] * 400, "host string, bad int")
+    got = {r.page_id: r for r in ur.judge(pages, outcomes).collect()}
+    assert [got[i].verdict for i in range(7)] == ["block", "block", "block", "block", got[4].verdict, got[5].verdict, "allow"]
+    assert got[1].host == "bad.net:8080" and got[2].host == "me@bad.net" and got[0].bound == got[1].bound == got[2].bound
+    assert got[4].n_outcomes == 0 and got[3].n_outcomes == 40 and len(got[6].path) == 200_001
+
+
+def test_the_bound_decides_pages_without_a_rule(spark):
+    got = ur.op8(spark, "/root/testdata/sf0.1").where("rule IS NULL").groupBy("verdict").count().collect()
+    assert {r.verdict for r in got} == {"allow", "block"}
+
+
 def test_outcomes_block_a_host(spark):
     pages = spark.createDataFrame([(1, "http://bad.net/x"), (2, "http://good.net/x")], "page_id long, url string")
     outcomes = spark.createDataFrame([("bad.net", 1)] * 40 + [("good.net", 0)] * 40, "host string, bad int")
