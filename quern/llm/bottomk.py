@@ -4,10 +4,12 @@ A sketch keeps the k smallest of a text's distinct shingle hashes.  Sketches mer
 and estimate resemblance, containment and the number of distinct shingles.  A text with at most k shingles has an exact
 sketch.  Shingles take five words; a text of fewer words is one shingle, a text without words has an empty sketch.
 
-The query needs each document's neighbour in descending doc_id order.  Documents are dealt once into ranges of doc_id
-(quantiles, so ranges hold like numbers of rows whatever the ids are) and sorted within; the first document of each range
-also goes to the end of the range before it, and the first of all to the end of the last.  No task sees more than its
-range, and texts are shuffled once.
+The query needs each document's neighbour in descending doc_id order.  Spark deals the rows' keys (doc_id, hash of the text,
+number of the row, so that equal ids and equal texts spread too) into ranges of like numbers of rows; from these come the ranges'
+first keys, one for each input partition.  Texts then go to their ranges once, and of each range's first document one copy goes to the
+end of the range before it (of the first range's to the end of the last).  No task sees more than its range.
+
+Texts are hashed in pieces of ``PIECE`` bytes, so that memory follows a text's bytes and not some times that.
 """
 
 from __future__ import annotations
@@ -22,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, table
+from .common import ASCII_SPACE, slices, table
 
 K = 128
 SHINGLE = 5
-#: Ranges of doc_id, at most: their borders go through the driver.
-MOST_RANGES = 20_000
+#: Texts are hashed in pieces of about so many bytes.
+PIECE = 1 << 20
 #: Hashes keep this many bits, six bytes of a fingerprint each.
 BITS = 48
 
@@ -46,6 +48,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(data: bytes) -> np.ndarray:
     """64-bit hashes of the words of a UTF-8 text, in order."""
+    if len(data) > 2 * PIECE:
+        return np.concatenate([word_hashes(part) if isinstance(part, bytes) else part for part in _pieces(data)] or [np.empty(0, np.uint64)])
     raw = np.frombuffer(data, np.uint8)
     word = ~_SPACE[raw]
     edge = np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0))
@@ -59,11 +63,35 @@ def word_hashes(data: bytes) -> np.ndarray:
     return _mix(np.add.reduceat((raw[word].astype(np.uint64) + np.uint64(1)) * power[place], offset))
 
 
-def shingle_hashes(data: bytes) -> np.ndarray:
-    """BITS-bit hashes of a text's word shingles, repeats included."""
-    words = word_hashes(data)
-    if not len(words):
-        return words
+def _pieces(data: bytes) -> Iterator[bytes | np.ndarray]:
+    """A text cut at white space into pieces of at most ``PIECE`` bytes; a longer word comes as its hash."""
+    space = _SPACE[np.frombuffer(data, np.uint8)]
+    at = 0
+    while at < len(data):
+        stop = min(len(data), at + PIECE)
+        if stop < len(data) and not space[stop]:
+            found = np.flatnonzero(space[at:stop])
+            if not len(found):  # in a word that is longer than a piece
+                after = np.flatnonzero(space[stop:])[:1]
+                stop = stop + int(after[0]) if len(after) else len(data)
+                yield _long_word_hash(data, at, stop)
+                at = stop
+                continue
+            stop = at + int(found[-1]) + 1
+        yield data[at:stop]
+        at = stop
+
+
+def _long_word_hash(data: bytes, at: int, stop: int) -> np.ndarray:
+    """The hash of one word, block by block."""
+    total, power = np.zeros(1, np.uint64), np.multiply.accumulate(np.full(PIECE, _BASE, np.uint64))
+    for k in range(at, stop, PIECE):
+        raw = np.frombuffer(data, np.uint8, min(PIECE, stop - k), k).astype(np.uint64) + np.uint64(1)
+        total += (raw * power[: len(raw)] * np.array([pow(int(_BASE), k - at, 1 << 64)], np.uint64)).sum(dtype=np.uint64)
+    return _mix(total)
+
+
+def _shingles(words: np.ndarray) -> np.ndarray:
     size = min(SHINGLE, len(words))
     out = np.full(len(words) - size + 1, size, np.uint64)
     for j in range(size):
@@ -71,9 +99,14 @@ def shingle_hashes(data: bytes) -> np.ndarray:
     return _mix(out) >> np.uint64(64 - BITS)
 
 
-def sketch(text: str, k: int = K) -> np.ndarray:
-    """The k smallest distinct shingle hashes, ascending.  Case of A-Z and the kind of ASCII white space don't count."""
-    found = shingle_hashes(text.encode().lower())
+def shingle_hashes(data: bytes) -> np.ndarray:
+    """BITS-bit hashes of a text's word shingles, repeats included."""
+    words = word_hashes(data)
+    return _shingles(words) if len(words) else words
+
+
+def _least(found: np.ndarray, k: int) -> np.ndarray:
+    """The k smallest distinct hashes, ascending."""
     if len(found) > 16 * k:  # only the smallest need sorting; repeats may leave fewer than k
         low = np.unique(np.partition(found, 8 * k)[: 8 * k])
         if len(low) >= k:
@@ -81,6 +114,21 @@ def sketch(text: str, k: int = K) -> np.ndarray:
     return np.unique(found)[:k]
 
 
+def sketch(text: str, k: int = K) -> np.ndarray:
+    """The k smallest distinct shingle hashes, ascending.  Case of A-Z and the kind of ASCII white space don't count."""
+    data = text.encode().lower()
+    if len(data) <= 2 * PIECE:
+        return _least(shingle_hashes(data), k)
+    out, held = np.empty(0, np.uint64), np.empty(0, np.uint64)  # held: words that shingles to come begin with
+    for part in _pieces(data):
+        held = np.concatenate([held, word_hashes(part) if isinstance(part, bytes) else part])
+        if len(held) >= SHINGLE:
+            out = merge(out, _least(_shingles(held), k), k)
+            held = held[1 - SHINGLE :]
+    # fewer words than a shingle has, in a text of giant words
+    return out if len(out) or not len(held) else _least(_shingles(held), k)
+
+
 def merge(a: np.ndarray, b: np.ndarray, k: int = K) -> np.ndarray:
     """The sketch of two parts' shingles together."""
     return np.union1d(a, b)[:k]
@@ -119,7 +167,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, n_shingles) of every row; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [sketch(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(encode, found), pa.string()), pa.array(map(distinct, found), pa.float64())], names=["doc_id", "fingerprint", "n_shingles"])
 
@@ -129,36 +177,46 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 # ---- each document against its edited text and its neighbour
 
 _LEAST = -(1 << 63)
+#: Order of the rows: descending doc_id, then by text hash, then by the row's number.
+_KEY = ["place", "h", "row"]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    return rows.select("doc_id", "text", F.bitwise_not(F.coalesce("doc_id", F.lit(_LEAST))).alias("place"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"))
+
+
+def first_keys(rows: DataFrame, ranges: int) -> np.ndarray:
+    """The first key of each of at most ``ranges`` ranges of like numbers of rows, ascending; 24 bytes a range reach the driver."""
+    dealt = rows.select(*_KEY).repartitionByRange(ranges, *_KEY)
+    found = dealt.groupBy(F.spark_partition_id()).agg(F.min(F.struct(*_KEY)).alias("k")).select("k.*").collect()
+    return np.array(sorted(tuple(r) for r in found), [(c, "i8") for c in _KEY])
 
 
 def with_neighbour_ranges(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, text, ghost, place) dealt into ranges of doc_id, sorted in descending order within.
+    """Rows (doc_id, text, ghost) dealt into ranges of their keys, sorted within.
 
-    The ghosts at a range's end are copies of the first document of the range that follows.
+    The ghost at a range's end is a copy of the first document of the range that follows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("place", F.coalesce("doc_id", F.lit(_LEAST)))
-    ranges = min(MOST_RANGES, max(2, rows.rdd.getNumPartitions()))
-    cuts = rows.agg(F.percentile_approx("place", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]
-    cuts = np.unique(np.array(cuts or [], np.int64))
+    rows = _keyed(docs)
+    firsts = first_keys(rows, max(2, docs.rdd.getNumPartitions()))
+    n = max(1, len(firsts))
 
     @F.pandas_udf("int")
-    def range_of(place: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, place.to_numpy(), side="right").astype(np.int32))
-
-    tops = {r["range"]: r["top"] for r in rows.select("place", range_of("place").alias("range")).groupBy("range").agg(F.max("place").alias("top")).collect()}  # one row for each range
-    used = sorted(tops)
-    goes = {tops[r]: used[(i + 1) % len(used)] for i, r in enumerate(used)}
-    at, to = np.array(sorted(goes), np.int64), np.array([goes[x] for x in sorted(goes)], np.int32)
-
-    @F.pandas_udf("array<int>")
-    def targets(place: pd.Series) -> pd.Series:
-        own, value = np.searchsorted(cuts, place.to_numpy(), side="right"), place.to_numpy()
-        k = np.minimum(np.searchsorted(at, value), max(0, len(at) - 1))
-        top = at[k] == value
-        return pd.Series([[int(r), int(g)] if t else [int(r)] for r, g, t in zip(own, to[k], top)], dtype=object)
+    def range_of(place: pd.Series, h: pd.Series, row: pd.Series) -> pd.Series:
+        own = np.empty(len(place), firsts.dtype)
+        own["place"], own["h"], own["row"] = place, h, row
+        return pd.Series(np.searchsorted(firsts, own, side="right").astype(np.int32) - 1)
 
-    dealt = rows.select("doc_id", "text", "place", F.posexplode(targets("place")).alias("ghost", "range"))
-    return dealt.repartitionById(len(cuts) + 1, F.col("range")).sortWithinPartitions("ghost", F.desc("place"), "text")
+    dealt = rows.withColumn("range", F.greatest(range_of(*_KEY), F.lit(0)))
+    # a row of equal id and text serves as well, wherever it is
+    heads = rows.sparkSession.createDataFrame([(*map(int, f[["place", "h"]].item()), (i - 1) % n) for i, f in enumerate(firsts)], "place long, h long, range int")
+    ghosts = rows.select("doc_id", "text", "place", "h").join(F.broadcast(heads), ["place", "h"])  # a row for each input partition
+    ghosts = ghosts.groupBy("range").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    none = F.lit(0).cast("long")
+    both = dealt.select("doc_id", "text", F.lit(0).alias("ghost"), "range", *_KEY).unionAll(ghosts.select("doc_id", "text", F.lit(1).alias("ghost"), "range", *(none.alias(c) for c in _KEY)))
+    return both.repartitionById(n, F.col("range")).sortWithinPartitions("ghost", *_KEY)
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +231,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), encode(own), encode(changed), resemblance(own, changed), resemblance(own, next_sketch), distinct(own)
 
     held, done = None, False
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for doc_id, text, ghost in zip(*(c.to_pylist() for c in batch.columns)):
             if done:
@@ -181,7 +239,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             here = (doc_id, text, sketch(text))
             if held:
                 rows.append(row(held, here))
-            held, done = here, bool(ghost)  # the first ghost follows the range's last document
+            held, done = here, bool(ghost)  # the ghost follows the range's last document
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
@@ -189,9 +247,10 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def compare_neighbours(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness to it and to the next document.
 
-    The next document is the one that follows in descending doc_id; rows of equal doc_id follow by text, rows without
+    The next document is the one that follows in descending doc_id; rows of equal doc_id follow by their text's hash, rows without
     one come last, and after the last comes the first (itself, if there is but one).  Null texts count as empty.
     Repeated rows are returned as often as they occur; other columns are left out.  An empty table gives no rows.
+    Very long texts are read whole, in pieces where their words are hashed.
     """
     dealt = with_neighbour_ranges(docs).select("doc_id", "text", "ghost")
     return dealt.mapInArrow(_compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles double")

@@ -3,6 +3,8 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from quern.llm import bottomk as bk
 
@@ -42,8 +44,14 @@ def test_round_trip_and_repeats():
         assert (s == np.unique(bk.shingle_hashes(text.encode().lower()))[: bk.K]).all()
 
 
+def xxhash64(text):
+    """Spark's hash of a string."""
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def brute(rows):
-    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), (r[1] or "").encode()))
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), xxhash64(r[1] or "")))
     out = []
     for i, (doc_id, text) in enumerate(order):
         text, after = text or "", order[(i + 1) % len(order)][1] or ""
@@ -54,6 +62,34 @@ def brute(rows):
     return out
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    rng = random.Random(6)
+    cases = [words(rng, 5000), "y" * 9000, "a " + "z" * 5000 + " b c d e f", "é" * 4000 + "\n" + words(rng, 300), "k" * 3000 + " " + "l" * 3000, " " * 5000, "m" * 2048 + " " + "n" * 1024 + " o", "p " * 3000]
+    whole = [(bk.sketch(t), bk.word_hashes(t.encode())) for t in cases]
+    monkeypatch.setattr(bk, "PIECE", 1024)
+    for t, (s, w) in zip(cases, whole):
+        assert (bk.sketch(t) == s).all() and (bk.word_hashes(t.encode()) == w).all()
+
+
+def test_memory_of_a_long_text():
+    import tracemalloc
+
+    text = "word and some " * 1_500_000  # 21 MB
+    tracemalloc.start()
+    bk.sketch(text)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 6 * len(text)
+
+
+def test_equal_ids_spread(spark):
+    docs = spark.createDataFrame([(None if i % 3 else 5, f"t{i}" if i % 2 else "same") for i in range(3000)], "doc_id long, text string").repartition(6)
+    dealt = bk.with_neighbour_ranges(docs)
+    sizes = [r["n"] for r in dealt.where("ghost = 0").groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 3000 and len(sizes) >= 5 and max(sizes) < 1200
+    assert dealt.where("ghost = 1").count() <= 6
+
+
 @pytest.mark.parametrize("case", ["empty", "one", "many", "ties"])
 def test_neighbours_against_brute_force(spark, case):
     rng = random.Random(4)
