@@ -4,9 +4,9 @@ Bounded-space online best-fit: a fixed number of bins is open, kept in stacks by
 spaces that occur.  A piece goes to the bin with the least space that holds it, found by the lowest bit of the shifted
 bitset; where none does, a bin opens, and beyond the fixed number the fullest closes first.
 
-Every task packs the texts that it reads, so no text is shuffled; only places are written.  The bins that are still open
-at a task's end are taken apart and packed again, tens of thousands of pieces to a task, largest first, which leaves one
-round of open bins for many tasks.
+Texts are tokenised and cut where they are read, and only their pieces' places and lengths are written.  The pieces are
+packed from there, in tasks of about ``PIECES`` of them or more, however the texts were split: the bins that a task leaves open
+at its end are few beside those that it has filled.  Nothing is shuffled, and no bin is opened beyond the bound.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ CAPACITY = 2048
 OPEN_BINS = 1024
 #: Id that ends a document.
 END = 0
-#: Pieces of open bins that are packed together in the second round.
-REPACK = 50_000
+#: Pieces that a task packs, about.
+PIECES = 150_000
 
 
 class Packer:
@@ -108,7 +108,8 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-_COLUMNS = [("doc_id", "long", pa.int64()), ("piece", "int", pa.int32()), ("start", "long", pa.int64()), ("length", "long", pa.int64()), ("ids_crc32", "long", pa.int64()), ("sequence_id", "long", pa.int64()), ("offset", "long", pa.int64())]
+_PIECE = [("doc_id", "long", pa.int64()), ("piece", "int", pa.int32()), ("start", "long", pa.int64()), ("length", "long", pa.int64()), ("ids_crc32", "long", pa.int64())]
+_PLACE = [("sequence_id", "long", pa.int64()), ("offset", "long", pa.int64())]
 _IDS = ("ids", "array<int>", pa.list_(pa.int32()))
 
 
@@ -116,67 +117,66 @@ def _batch(rows: list[tuple], columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, _, k) in zip(zip(*rows), columns)], names=[n for n, _, _ in columns])
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, bins: int = OPEN_BINS, name: str = "byte_bpe_50k", with_ids: bool = False) -> DataFrame:
-    """A row for every piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids on request.
+def _schema(columns: list) -> str:
+    return ", ".join(f"{n} {t}" for n, t, _ in columns)
 
-    Null texts count as empty and give the end id alone.  Repeated rows and rows without a doc_id are packed each.  Long
-    texts are cut into full pieces behind a first one that may be shorter.  An empty table gives no rows; other columns
-    are left out.  Sequence ids are negative in the second round.
-    """
-    columns = [*_COLUMNS, *[_IDS] * with_ids]
-    schema = ", ".join(f"{n} {t}" for n, t, _ in columns)
-    flagged = [*columns, ("open", "boolean", pa.bool_())]
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer, context = encoder(name), Packer(capacity, bins), TaskContext.get()
-        sequence = (context.partitionId() if context else 0) << 32
-        rows: list[tuple] = []
-
-        def put(own: list, left_open: bool) -> None:
-            nonlocal sequence
-            rows.extend((*item[:5], sequence, offset, *item[5:], left_open) for item, offset in own)
-            sequence += 1
+def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = "byte_bpe_50k", with_ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, and ids on request, of every piece of every text."""
+    columns = [*_PIECE, *[_IDS] * with_ids]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(name)
         for batch in slices(batches):
+            rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.append(encode(text), np.uint32(END)).astype("<u4", copy=False)
                 for piece, (start, length) in enumerate(cut(len(ids), capacity)):
                     part = ids[start : start + length]
-                    item = (doc_id, piece, start, length, zlib.crc32(part.tobytes()), *([part.astype(np.int32)] * with_ids))
-                    for own in packer.add(item, length):
-                        put(own, False)
+                    rows.append((doc_id, piece, start, length, zlib.crc32(part.tobytes()), *([part.astype(np.int32)] * with_ids)))
+            yield _batch(rows, columns)
+
+    return text_docs(docs).mapInArrow(run, _schema(columns))
+
+
+def place(pieces: DataFrame, capacity: int = CAPACITY, bins: int = OPEN_BINS) -> DataFrame:
+    """``pieces`` with sequence_id and offset, by bounded-space best-fit in each of the frame's partitions."""
+    with_ids = "ids" in pieces.columns
+    columns = [*_PIECE, *_PLACE, *[_IDS] * with_ids]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, context = Packer(capacity, bins), TaskContext.get()
+        sequence = (context.partitionId() if context else 0) << 32
+        rows: list[tuple] = []
+        for batch in batches:
+            for item in zip(*(c.to_pylist() for c in batch.columns)):
+                for own in packer.add(item, item[3]):
+                    rows.extend((*x[:5], sequence, offset, *x[5:]) for x, offset in own)
+                    sequence += 1
             if rows:
-                yield _batch(rows, flagged)
+                yield _batch(rows, columns)
                 rows.clear()
         for own in packer.finish():
-            put(own, True)
-            if len(rows) > 10_000:
-                yield _batch(rows, flagged)
-                rows.clear()
-        if rows:
-            yield _batch(rows, flagged)
-
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        sequence = -1 - ((context.partitionId() if context else 0) << 32)
-        held = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
-        packer = Packer(capacity, max(bins, len(held)))  # largest first opens most bins before any fills
-        held.sort(key=lambda r: (-r[3], r[4], r[0] or 0, r[1]))
-        rows: list[tuple] = []
-        for source in (*(packer.add(r, r[3]) for r in held), packer.finish()):
-            for own in source:
-                rows.extend((*item[:5], sequence, offset, *item[7:]) for item, offset in own)
-                sequence -= 1
+            rows.extend((*x[:5], sequence, offset, *x[5:]) for x, offset in own)
+            sequence += 1
             if len(rows) > 10_000:
                 yield _batch(rows, columns)
                 rows.clear()
         if rows:
             yield _batch(rows, columns)
 
-    placed = materialize(text_docs(docs).mapInArrow(first, f"{schema}, open boolean"), "pieces")
-    rest = placed.where("open").drop("open")
-    tasks = max(1, round(rest.count() / REPACK))
-    return placed.where("not open").drop("open").unionAll(rest.coalesce(tasks).mapInArrow(second, schema))
+    return pieces.mapInArrow(run, _schema(columns))
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, bins: int = OPEN_BINS, name: str = "byte_bpe_50k", with_ids: bool = False) -> DataFrame:
+    """A row for every piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids on request.
+
+    Null texts count as empty and give the end id alone.  Repeated rows and rows without a doc_id are packed each.  Long
+    texts are cut into full pieces behind a first one that may be shorter.  An empty table gives no rows; other columns
+    are left out.
+    """
+    pieces = materialize(cut_pieces(docs, capacity, name, with_ids), "pieces")
+    return place(pieces.coalesce(max(1, round(pieces.count() / PIECES))), capacity, bins)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

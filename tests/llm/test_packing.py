@@ -5,9 +5,11 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from quern.llm import packing as pk
+from quern.llm.common import materialize
 
 SLOW = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -27,26 +29,49 @@ def test_encoders_agree():
         assert encode(text).tolist() == ids_of(text)[:-1]
 
 
-def test_best_fit_takes_the_fullest_that_fits():
-    """Against a plain search over the open bins."""
-    rng = random.Random(2)
-    packer, bins, closed = pk.Packer(50, 5), [], []
-    for i in range(2000):
-        n = rng.randint(1, 50)
-        closed += [[x for x, _ in b] for b in packer.add((i, n), n)]
+def plain_best_fit(lengths, capacity, most):
+    """Closed bins as lists of items, by a plain search over the open bins."""
+    bins, closed = [], []  # a bin: free space, items
+    for i, n in enumerate(lengths):
         fits = [b for b in bins if b[0] >= n]
-        own = min(fits, key=lambda b: b[0]) if fits else [50, []]
-        if not fits:
-            bins.append(own)
+        own = min(reversed(fits), key=lambda b: b[0]) if fits else [capacity, []]
+        if fits:
+            bins = [b for b in bins if b is not own]
         own[0] -= n
-        own[1].append((i, n))
-        bins = [b for b in bins if b[0]]
-        if len(bins) > 5:
-            bins.remove(min(bins, key=lambda b: b[0]))
-        assert sorted(s for s in range(51) for _ in packer.by_space[s]) == sorted(b[0] for b in bins)
+        own[1].append(i)
+        if own[0]:
+            bins.append(own)  # of equal bins the one used last is taken
+        else:
+            closed.append(own[1])
+        if len(bins) > most:
+            fullest = min(reversed(bins), key=lambda b: b[0])
+            bins = [b for b in bins if b is not fullest]
+            closed.append(fullest[1])
+    return closed + [b[1] for b in bins]
+
+
+def test_best_fit_takes_the_fullest_that_fits():
+    rng = random.Random(2)
+    lengths = [rng.randint(1, 50) for _ in range(2000)]
+    packer = pk.Packer(50, 5)
+    closed = [[x for x, _ in b] for i, n in enumerate(lengths) for b in packer.add(i, n)]
+    assert packer.open <= 5
     closed += [[x for x, _ in b] for b in packer.finish()]
-    assert sorted(i for b in closed for i, _ in b) == list(range(2000))
-    assert all(sum(n for _, n in b) <= 50 for b in closed)
+    assert sorted(closed) == sorted(plain_best_fit(lengths, 50, 5))
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_whole_packing_against_plain_search(spark, parts):
+    """However the texts are split, all pieces go through the bounded packer, in the order in which they are read."""
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, "word " * rng.randint(0, 150)) for i in range(600)], "doc_id long, text string").repartition(parts)
+    pieces = materialize(pk.cut_pieces(docs, capacity=64), "pieces")
+    order = pieces.coalesce(1).collect()
+    got = defaultdict(list)
+    for r in pk.place(pieces.coalesce(1), capacity=64, bins=6).collect():
+        got[r.sequence_id].append((r.offset, r.doc_id, r.piece))
+    want = [[(order[i].doc_id, order[i].piece) for i in own] for own in plain_best_fit([r.length for r in order], 64, 6)]
+    assert sorted([x[1:] for x in sorted(own)] for own in got.values()) == sorted(want)
 
 
 def test_cut():
