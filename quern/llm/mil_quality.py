@@ -4,9 +4,10 @@ A document is a bag of passages of 64 words.  Every passage becomes a feature ve
 novelty of its words within the document, hashed words) and is encoded by a learned layer; gated attention weights,
 learned from document labels alone, average the passages' codes, and a logistic layer scores the average.
 
-Learning takes a bounded sample of labelled rows (``bound``) and, in training only, ``BAG`` passages of each at most,
-evenly spaced.  The model has a fixed size.  Scoring is one pass without a shuffle over all passages of every whole
-text; attention is accumulated online, so memory doesn't follow the text's length.
+Learning takes a bounded sample of labelled rows (``bound``): documents whole, with all their passages, as many as come to
+``PASSAGES`` passages at most in a hashed order of their ids.  The model has a fixed size.  Scoring is one pass without a shuffle over all
+passages of every whole text.  Texts are read in pieces of ``PIECE`` bytes, cut between passages, and attention is
+accumulated online: memory follows a text's bytes and its distinct words, and the score doesn't depend on the pieces.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bottomk import word_hashes
-from .common import ASCII_SPACE, held_out, labelled_sample, slices, table, text_docs
+from .common import ASCII_SPACE, discard, held_out, labelled_sample, materialize, slices, table, text_docs
 
 PASSAGE = 64
-#: Labelled rows to learn from, and passages of each in training.
-BOUND, BAG = 6_000, 256
-#: Texts are read in pieces of so many bytes; words are new or seen within a piece.
+#: Labelled rows to learn from, and their passages in all, at most.
+BOUND, PASSAGES = 6_000, 150_000
+#: Texts are read in pieces of about so many bytes.
 PIECE = 1 << 22
 CODE, GATE, BUCKETS = 24, 12, 64
 THRESHOLD = 0.3
@@ -53,15 +54,17 @@ _SPACE[list(ASCII_SPACE)] = True
 FEATURES = _KINDS + 6 + BUCKETS
 
 
-def passage_features(data: bytes) -> np.ndarray:
-    """(passages, FEATURES) of one piece of text; a text without words is one passage without words."""
-    raw = np.frombuffer(data, np.uint8)
-    word = ~_SPACE[raw]
-    edge = np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+def words_at(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a text's bytes."""
+    edge = np.diff((~_SPACE[raw]).view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def _passages(raw: np.ndarray, data: bytes, total: int, seen: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(passages, FEATURES) of a piece, and the hashes of its words.  total: words of the whole text; seen: sorted hashes of
+    the words before the piece; last: the hash of the word before it, if any."""
+    start, end = words_at(raw)
     n = len(start)
-    if not n:
-        return np.zeros((1, FEATURES), np.float32)
     first = np.arange(0, n, PASSAGE)
     bounds = np.r_[0, start[first[1:]], len(raw)]
     size, words = np.diff(bounds), np.diff(np.r_[first, n])
@@ -71,23 +74,54 @@ def passage_features(data: bytes) -> np.ndarray:
     at = np.unique(hashes, return_index=True)[1]
     new = np.zeros(n)
     new[at] = 1
-    again = np.r_[0.0, hashes[1:] == hashes[:-1]]
+    if len(seen):
+        at = at[new[at] > 0]
+        place = np.minimum(np.searchsorted(seen, hashes[at]), len(seen) - 1)
+        new[at[seen[place] == hashes[at]]] = 0
+    again = np.r_[float(len(last) and last[0] == hashes[0]), hashes[1:] == hashes[:-1]]
     length = (end - start).astype(float)
     mean = lambda x: np.add.reduceat(x, first) / words
-    sums = np.column_stack([mean(new), mean(again), mean(length) / 8, np.sqrt(np.maximum(0, mean(length**2) - mean(length) ** 2)) / 4, np.log1p(words), np.full(len(first), np.log1p(n))])
+    sums = np.column_stack([mean(new), mean(again), mean(length) / 8, np.sqrt(np.maximum(0, mean(length**2) - mean(length) ** 2)) / 4, np.log1p(words), np.full(len(first), np.log1p(total))])
     bucket = (hashes >> np.uint64(40)) % np.uint64(BUCKETS)
     hashed = np.bincount((np.repeat(np.arange(len(first)) * BUCKETS, words) + bucket.astype(np.int64)), minlength=len(first) * BUCKETS).reshape(-1, BUCKETS) / words[:, None]
-    return np.column_stack([np.log1p(100.0 * kinds / size[:, None]), sums, 4 * np.sqrt(hashed)]).astype(np.float32)
+    return np.column_stack([np.log1p(100.0 * kinds / size[:, None]), sums, 4 * np.sqrt(hashed)]).astype(np.float32), hashes
 
 
-def pieces(text: str) -> Iterator[bytes]:
-    """A text's bytes in pieces, cut at white space where there is any."""
-    data = text.encode()
-    while len(data) > PIECE:
-        cut = max(data.rfind(c, PIECE // 2, PIECE) for c in (b" ", b"\n")) + 1 or PIECE
-        yield data[:cut]
-        data = data[cut:]
-    yield data
+def features(text: str, piece: int = 0) -> Iterator[np.ndarray]:
+    """The passages' features of a whole text, piece by piece (of ``PIECE`` bytes by default); a text without words is one passage without words."""
+    data, piece = text.encode(), piece or PIECE
+    raw = np.frombuffer(data, np.uint8)
+    if len(data) <= piece:
+        if not (total := len(words_at(raw)[0])):
+            yield np.zeros((1, FEATURES), np.float32)
+        else:
+            yield _passages(raw, data, total, np.empty(0, np.uint64), np.empty(0, np.uint64))[0]
+        return
+    total, inside = 0, False
+    for k in range(0, len(raw), piece):
+        word = ~_SPACE[raw[k : k + piece]]
+        total += int(word[0] and not inside) + int((word[1:] & ~word[:-1]).sum())
+        inside = bool(word[-1])
+    if not total:
+        yield np.zeros((1, FEATURES), np.float32)
+        return
+    seen = last = np.empty(0, np.uint64)
+    at, size = 0, piece
+    while at < len(raw):
+        stop = min(len(raw), at + size)
+        cut = stop
+        if stop < len(raw):  # up to the last passage that begins here, as it may go on
+            start = words_at(raw[at:stop])[0]
+            k = (len(start) - 1) // PASSAGE * PASSAGE
+            if k <= 0:
+                size *= 2
+                continue
+            cut = at + int(start[k])
+        if len(words_at(raw[at:cut])[0]):
+            found, hashes = _passages(raw[at:cut], data[at:cut], total, seen, last)
+            seen, last = np.union1d(seen, hashes), hashes[-1:]
+            yield found
+        at, size = cut, piece
 
 
 @dataclass
@@ -106,8 +140,8 @@ class Model:
     def score(self, text: str) -> tuple[float, int, int]:
         """Score, number of passages, the passage with the largest weight."""
         top, weight, code, n, best = -np.inf, 0.0, np.zeros(CODE), 0, 0
-        for piece in pieces(text):
-            h, a = self.encode(passage_features(piece))
+        for x in features(text):
+            h, a = self.encode(x)
             k = int(a.argmax())
             if a[k] > top:
                 code, weight, top, best = code * np.exp(top - a[k]), weight * np.exp(top - a[k]), float(a[k]), n + k
@@ -165,21 +199,27 @@ def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 20, seed: in
     return Model(shift, scale, p)
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
-    """Learns from at most ``bound`` labelled rows that aren't held out.
+def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND, passages: int = PASSAGES) -> Model:
+    """Learns from at most ``bound`` labelled rows that aren't held out, and ``passages`` passages of theirs.
 
-    Without labelled rows of both kinds every text gets the share of label 1 (a half without any).
+    Documents are learned from whole or not at all.  Without labelled rows of both kinds every text gets the share of
+    label 1 (a half without any).
     """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for text in batch.column(1).to_pylist():
-                x = np.concatenate([passage_features(b) for b in pieces(text)])
-                found.append(x[np.linspace(0, len(x) - 1, BAG).astype(int)] if len(x) > BAG else x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "y", "x"])
-
-    rows = labelled_sample(docs, labels, "quality", bound).select("doc_id", "text", "y").mapInArrow(measure, "doc_id long, y int, x binary").collect()  # bounded
+        for batch in slices(batches):
+            for doc_id, text, y in zip(*(c.to_pylist() for c in batch.columns)):  # a row at a time: features take some times a text's bytes
+                x = np.concatenate(list(features(text)))
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([y], pa.int32()), pa.array([len(x)], pa.int64()), pa.array([x.tobytes() if len(x) <= passages else None], pa.binary())], names=["doc_id", "y", "n", "x"])
+
+    sample = labelled_sample(docs, labels, "quality", bound).select("doc_id", "text", "y")
+    bags = materialize(sample.mapInArrow(measure, "doc_id long, y int, n long, x binary"), "bags")
+    sizes = bags.where("x IS NOT NULL").select("doc_id", "n").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").collect()  # of the bounded sample
+    ends = np.cumsum([r["n"] for r in sizes])
+    chosen = [r["doc_id"] for r, end in zip(sizes, ends) if end <= passages]
+    kept = bags if len(chosen) == len(sizes) else bags.where(F.col("doc_id").isin(chosen))
+    rows = kept.where("x IS NOT NULL").select("doc_id", "y", "x").collect()  # at most ``passages`` passages
+    discard(bags)
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
     y = np.array([r["y"] for r in rows], float)
     if len(set(y)) < 2:
@@ -204,7 +244,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def of_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score the threshold or more."""
+    """The rows of ``docs``, with all their columns, that score the threshold or more.
+
+    Null texts count as empty, and an empty text is scored like any other; repeated rows share a verdict; very long texts
+    are read whole; an empty table gives no rows.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
