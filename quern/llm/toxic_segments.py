@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -207,18 +207,18 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
     Three quarters give the token counts, the rest K and the logistic fit.  Without labelled rows of both kinds the
     model scores every text by the share of toxic rows.
     """
-    sample = labelled_sample(docs, labels, "toxic", bound).withColumn("h", least_shingle("text"))
-    alike = Window.partitionBy("h", "y")
-    # copies are counted apart from others or not at all, as their group is on one side
-    apart = F.crc32(F.min("doc_id").over(alike).cast("string").cast("binary")) % 5 == 1
-    sample = sample.select("text", "y", (1 / F.count("*").over(alike)).alias("weight"), apart.alias("apart")).persist()
+    rows = labelled_sample(docs, labels, "toxic", bound).withColumn("h", least_shingle("text")).persist()
+    # a group of copies is on one side as a whole; a row for each group, at most ``bound`` or so
+    apart = F.crc32(F.min("doc_id").cast("string").cast("binary")) % 5 == 1
+    alike = rows.groupBy("h", "y").agg((1 / F.count("*")).alias("weight"), apart.alias("apart"))
+    sample = rows.join(F.broadcast(alike), ["h", "y"]).select("text", "y", "weight", "apart")
     counted = (
         sample.where(~F.col("apart")).select("text", "y", "weight").mapInArrow(_counts, "token string, n0 double, n1 double")
         .groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     ).persist()
     whole = counted.where(~F.col("token").endswith("*")).agg(F.sum("n0"), F.sum("n1")).first()
-    rows = sorted((r.token, round(r.n0, 6), round(r.n1, 6)) for r in counted.where(f"n0 + n1 >= {COMMON - 1e-6}").collect())  # of the bounded sample
-    scores, share = token_scores(rows, whole[0] or 0, whole[1] or 0) if whole[0] and whole[1] else ({}, {})
+    known = sorted((r.token, round(r.n0, 6), round(r.n1, 6)) for r in counted.where(f"n0 + n1 >= {COMMON - 1e-6}").collect())  # of the bounded sample
+    scores, share = token_scores(known, whole[0] or 0, whole[1] or 0) if whole[0] and whole[1] else ({}, {})
     model = Model(scores)
     model.lam = solve_lambda([scores[t] for t in share], list(share.values()), model.drift)
 
@@ -231,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
 
     measured = sorted(tuple(r) for r in sample.where("apart").select("text", "y", "weight").mapInArrow(measure, "y int, weight double, n long, s array<double>").collect())
     counted.unpersist()
-    sample.unpersist()
+    rows.unpersist()
     calibrate(model, measured, whole[0] or 0, whole[1] or 0)
     return model
 
