@@ -156,6 +156,8 @@ def call(name: str, args: list[Value]) -> Value:
             return Value((_number(args[0]).column if args[0].kind != "str" else F.trim(columns[0])).cast("bigint"), "int")
         if name == "bool":
             return Value(truth(args[0]), "bool")
+        if name == "hash" and args[0].kind == "int":  # an integer is its own hash, but for -1
+            return Value(F.when(columns[0] == -1, F.lit(-2).cast("bigint")).otherwise(columns[0].cast("bigint")), "int")
         if name in ("log", "log2", "log10"):
             return Value({"log": F.log, "log2": F.log2, "log10": F.log10}[name](columns[0]), "float")
         if name in _ONE:

@@ -114,7 +114,7 @@ class Query:
             return ops.join(left, right, method, expr, left_keys, right_keys, how)
 
         shown = [f"expr='{expr}'"] * bool(expr) + [f"keys={list(zip(left_keys or [], right_keys or []))}"] * bool(left_keys)
-        info = {"expr": expr, "keys": list(zip(left_keys or [], right_keys or [])), "how": how, "renames": bool(left_schema or right_schema), "method": method}
+        info = {"expr": expr, "keys": list(zip(left_keys or [], right_keys or [])), "how": how, "renames": bool(left_schema or right_schema), "method": method, "index": indexId}
         return self._next(Node(_JOIN_NAMES.get(method, "Join"), (self._own("join"), rhs._own("join")), make, ", ".join(shown), info))
 
     def union(self, other: Query) -> Query:
@@ -196,7 +196,8 @@ class Plan:
         """The operator tree with costs; with a mode, Spark's own plan (``simple``, ``formatted``, ``cost``...) besides."""
         from .stats import cost
 
-        lines = ["  " * d + f"{n.op}[{n.id},cost={cost(n):.2f}]" + f"({n.shown})" * bool(n.shown) for d, n in self.root.walk()]
+        memo: dict = {}
+        lines = ["  " * d + f"{n.op}[{n.id},cost={cost(n, memo=memo):.2f}]" + f"({n.shown})" * bool(n.shown) for d, n in self.root.walk()]
         if mode:
             query = self.frame()._jdf.queryExecution()
             lines.append(query.explainString(self.frame().sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode)))

@@ -114,6 +114,18 @@ def project_dates_bits(spark, sf_dir):
     return scan(spark, sf_dir, "orders").where("timestamp('1997-03-01') <= o_orderdate < timestamp('1997-06-01')").select(columns("o_orderkey:long", "day:int=yyyymmdd(o_orderdate)", "year:int=year(o_orderdate)", "bits:long=(o_custkey & 7) ^ 5")).frame()
 
 
+@query("SELECT o_orderkey, (o_custkey % 5)::BIGINT AS part, CASE WHEN DATE '1997-03-01' <= o_orderdate::DATE THEN 1 ELSE 0 END AS late, CASE WHEN o_orderdate::DATE = DATE '1996-01-02' THEN 1 ELSE 0 END AS that_day FROM orders")
+def project_hash_date(spark, sf_dir):
+    return scan(spark, sf_dir, "orders").select(columns("o_orderkey:long", "part:long=hash(o_custkey) % 5", "late:int=1 if date('1997-03-01') <= date(o_orderdate) else 0", "that_day:int=1 if date(str(date(o_orderdate))) == date('1996-01-02') else 0")).frame()
+
+
+@query("SELECT c_custkey, c_name FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL UNION ALL SELECT c_custkey, c_name FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 400000 AND o_orderkey IS NOT NULL")
+def where_is_none(spark, sf_dir):
+    base = db(spark, sf_dir)
+    q = base.query().from_table("customer").join(base.query().from_table("orders"), expr="c_custkey == o_custkey", how="left")
+    return q.where("o_orderkey is None or o_totalprice > 400000 and o_orderkey is not None").select(columns("c_custkey:long", "c_name:string")).frame()
+
+
 # ---- joins
 
 ORDER_CUSTOMER_SQL = "SELECT o_orderkey, o_totalprice, c_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 100000"
@@ -245,12 +257,15 @@ def fold_python(spark, sf_dir):
 
 @query("WITH q AS (SELECT n_nationkey, n_name, p_partkey, p_name, sum(l_quantity) AS quantity FROM nation JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL) SELECT n_nationkey, n_name, p_partkey, p_name, quantity FROM q QUALIFY row_number() OVER (PARTITION BY n_nationkey ORDER BY quantity DESC, p_partkey) = 1")
 def max_by_group(spark, sf_dir):
-    """The most ordered part of each nation; of equals the smallest key."""
-    quantities = _lines_of_nations(spark, sf_dir).join(scan(spark, sf_dir, "part"), expr="l_partkey == p_partkey").group_by(
-        Schema("k", [("n_nationkey", "int"), ("n_name", "string"), ("p_partkey", "long"), ("p_name", "string")]), Schema("a", [("quantity", "double")]),
-        lambda e: (e.n_nationkey, e.n_name, e.p_partkey, e.p_name), [(0.0, lambda acc, e: acc + e.l_quantity, lambda x: x)]).frame()
-    best = F.max_by(F.struct("p_partkey", "p_name", "quantity"), F.struct("quantity", -F.col("p_partkey")))
-    return quantities.groupBy("n_nationkey", "n_name").agg(best.alias("b")).select("n_nationkey", "n_name", "b.p_partkey", "b.p_name", "b.quantity")
+    """The most ordered part of each nation; of equals the smallest key.  Names are joined to the few rows that are left."""
+    base = db(spark, sf_dir)
+    quantities = _lines_of_nations(spark, sf_dir).group_by(
+        Schema("k", [("n_nationkey", "int"), ("n_name", "string"), ("l_partkey", "long")]), Schema("a", [("quantity", "double")]),
+        lambda e: (e.n_nationkey, e.n_name, e.l_partkey), [(0.0, lambda acc, e: acc + e.l_quantity, lambda x: x)]).frame()
+    known = ops.semi_join(quantities, base.table("part"), ["l_partkey"], ["p_partkey"])
+    best = F.max_by(F.struct("l_partkey", "quantity"), F.struct("quantity", -F.col("l_partkey")))
+    top = known.groupBy("n_nationkey", "n_name").agg(best.alias("b")).select("n_nationkey", "n_name", "b.l_partkey", "b.quantity")
+    return ops.join(top, base.table("part").select("p_partkey", "p_name"), left_keys=["l_partkey"], right_keys=["p_partkey"]).select("n_nationkey", "n_name", "p_partkey", "p_name", "quantity")
 
 
 def _lines_of_nations(spark, sf_dir) -> Query:
@@ -353,6 +368,149 @@ def dml_tuples(spark, sf_dir):
     return base.table("region")
 
 
+@query("SELECT s_suppkey, s_name, CASE WHEN s_suppkey = 7 THEN 99 WHEN s_nationkey = 4 THEN s_nationkey + 100 ELSE s_nationkey END AS s_nationkey FROM supplier WHERE s_suppkey <> 3 AND s_nationkey <> 11")
+def dml_by_key(spark, sf_dir):
+    """Changes and deletes by primary key and by index."""
+    base = _own(spark, sf_dir, "supplier", "supplier")
+    nation = base.create_index("supplier", ["s_nationkey"])
+    base.create_index("supplier", ["s_suppkey"], primary=True)
+    base.update_by_index(nation, (4,), {"s_nationkey": "s_nationkey + 100"})
+    base.delete_by_index(nation, 11)
+    base.update_key("supplier", (7,), {"s_nationkey": "99"})
+    base.delete_key("supplier", 3)
+    return base.table("supplier").select("s_suppkey", "s_name", "s_nationkey")
+
+
+@query("SELECT r_regionkey, r_name, count(*) OVER () AS n, true AS refused FROM (SELECT r_regionkey, r_name FROM region UNION ALL SELECT 50, 'LATER') x")
+def unique_inserts(spark, sf_dir):
+    """A second row with a primary key is refused, as a tuple and in a frame, and leaves nothing behind."""
+    base, region = Database(spark, storage.scratch(spark)), db(spark, sf_dir).table("region")
+    base.create_relation("region", [("r_regionkey", "int"), ("r_name", "char(25)")])
+    base.create_index("region", ["r_regionkey"], primary=True)
+    base.insert_frame("region", region)
+    base.insert("region", 50, "LATER")
+    refused = 0
+    for change in (lambda: base.insert("region", 50, "AGAIN"), lambda: base.insert("region", 0, "AGAIN"), lambda: base.insert_frame("region", region.limit(2))):
+        try:
+            change()
+        except ValueError:
+            refused += 1
+    rows = base.table("region")
+    return rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n")))).withColumn("refused", F.lit(refused == 3))  # one row
+
+
+@query("SELECT s_suppkey, s_name, (s_suppkey >= 10000000) AS later FROM (SELECT s_suppkey, s_name FROM supplier UNION ALL SELECT 10000000 + range, 'added' FROM range(3)) x")
+def db_restart(spark, sf_dir):
+    """A database opened again goes on where it was: rows, indexes and row addresses."""
+    base = _own(spark, sf_dir, "supplier", "supplier")
+    base.create_index("supplier", ["s_suppkey"], primary=True)
+    base.close()
+    again = Database(spark, base.folder)
+    source = again.table("supplier").limit(1).first().asDict()
+    for i in range(3):
+        again.insert("supplier", *(source | {"s_suppkey": 10_000_000 + i, "s_name": "added"}).values())
+    again.close()
+    third = Database(spark, base.folder)
+    addresses = third.rows("supplier").groupBy("_tid").agg(F.count("*").alias("n"))
+    rows = third.rows("supplier").join(addresses.where("n = 1"), "_tid", "left_semi")  # rows that share an address would be missing
+    return rows.select("s_suppkey", "s_name", (F.col("s_suppkey") >= 10_000_000).alias("later"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 20")
+def attach_detach(spark, sf_dir):
+    """Files from outside as a relation; its changes leave them alone, and a detached relation's files can be attached again."""
+    base = Database(spark, storage.scratch(spark))
+    base.attach_relation("nation", f"{sf_dir}/nation.parquet")
+    base.delete_where("nation", "n_nationkey >= 20")
+    folder = base.relations["nation"]["files"][0].rsplit("/", 1)[0]
+    base.remove_relation("nation", keep_files=True)
+    base.attach_relation("again", folder)
+    return base.table("again").select("n_nationkey", "n_name") if base.relation_names() == ["again"] and base.schema("again").fields else base.table("nation")
+
+
+@query("WITH totals AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey), large AS (SELECT * FROM totals WHERE total > 2000000) SELECT c_nationkey, count(*)::BIGINT AS n FROM large JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey")
+def sql_cte(spark, sf_dir):
+    base = Database(spark, storage.scratch(spark))
+    for name in ("orders", "customer"):
+        base.attach_relation(name, f"{sf_dir}/{name}.parquet")
+    return base.sql("WITH totals AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey), large AS (SELECT * FROM totals WHERE total > 2000000) SELECT c_nationkey, count(*) AS n FROM large JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2")
+def truncate_insert(spark, sf_dir):
+    base = _own(spark, sf_dir, "nation", "nation")
+    base.truncate("nation")
+    base.insert_frame("nation", db(spark, sf_dir).table("nation").where("n_regionkey = 2"))
+    return base.table("nation").select("n_nationkey", "n_name")
+
+
+@query("SELECT c_nationkey, count(*)::BIGINT AS n FROM customer WHERE c_acctbal > 1000 GROUP BY c_nationkey HAVING count(*) > 3")
+def temporary_relation(spark, sf_dir):
+    """An operator's output, kept as a relation and read again."""
+    base = Database(spark, storage.scratch(spark))
+    name = base.store(scan(spark, sf_dir, "customer").where("c_acctbal > 1000"))
+    q = base.query().from_table(name).group_by(Schema("k", [("c_nationkey", "int")]), Schema("a", [("n", "long")]), ["c_nationkey"], [(0, lambda acc, e: acc + 1, lambda x: x)])
+    return q.where("n > 3").frame()
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def tuple_iterator(spark, sf_dir):
+    """Rows through the iterator of a relation's tuples, a partition at a time."""
+    base = _own(spark, sf_dir, "nation", "nation")
+    return spark.createDataFrame([(r.n_nationkey, r.n_name) for r in base.tuples("nation")], "n_nationkey int, n_name string")  # 25 rows
+
+
+@query("SELECT c_nationkey, count(*)::BIGINT AS n FROM customer GROUP BY c_nationkey")
+def page_iterator(spark, sf_dir):
+    """A function of a relation's batches."""
+    def count(batches):
+        for pdf in batches:
+            yield pdf.groupby("c_nationkey").size().reset_index(name="n")
+
+    base = _own(spark, sf_dir, "customer", "customer")
+    return base.batches("customer", count, "c_nationkey int, n long").groupBy("c_nationkey").agg(F.sum("n").alias("n"))
+
+
+@query("SELECT count(*)::BIGINT AS tuples, true AS sized FROM orders")
+def file_metadata(spark, sf_dir):
+    base = _own(spark, sf_dir, "orders", "orders")
+    return base.files("orders").agg(F.sum("tuples").alias("tuples"), (F.min("bytes") > 0).alias("sized"))
+
+
+@query("SELECT count(*)::BIGINT AS n FROM supplier")
+def direct_scan(spark, sf_dir):
+    return _own(spark, sf_dir, "supplier", "supplier").direct("supplier").agg(F.count("*").alias("n"))
+
+
+@query("SELECT true AS near, count(*) AS tuples FROM customer")
+def sampled_load(spark, sf_dir):
+    """Loads about a third of a file's rows: within six standard deviations, and all of them known rows."""
+    base, source = Database(spark, storage.scratch(spark)), db(spark, sf_dir).table("customer").select("c_custkey", "c_name")
+    folder = storage.scratch(spark)
+    delimited.write_delimited(source, f"{folder}/customer.csv")
+    base.create_relation("customer", [("c_custkey", "long"), ("c_name", "char(25)")])
+    delimited.import_file(base, f"{folder}/customer.csv", "customer", "is", scale=1 / 3)
+    loaded = base.table("customer").join(source, ["c_custkey", "c_name"], "left_semi").agg(F.count("*").alias("n"))
+    whole = source.agg(F.count("*").alias("tuples"))
+    near = F.abs(F.col("n") - F.col("tuples") / 3) <= 6 * F.sqrt(F.col("tuples") * 2 / 9)
+    return whole.crossJoin(F.broadcast(loaded)).select(near.alias("near"), "tuples")  # one row each
+
+
+@query("SELECT l_returnflag, sum(l_quantity) AS quantity, 'by_flag_status' AS view FROM lineitem WHERE l_linenumber <> 7 GROUP BY l_returnflag")
+def view_rewrite(spark, sf_dir):
+    """A rollup is answered from the stored view that covers it, which is made again once its base has changed."""
+    base = Database(spark, storage.scratch(spark))
+    base.create_relation("lines", [("l_returnflag", "string"), ("l_linestatus", "string"), ("l_linenumber", "int"), ("l_quantity", "double")])
+    base.insert_frame("lines", db(spark, sf_dir).table("lineitem"))
+    views, key = layout.MaterializedViews(spark, storage.scratch(spark)), lambda *names: {n: F.col(n) for n in names}
+    for name, keys in (("by_flag_status", ("l_returnflag", "l_linestatus")), ("by_all", ("l_returnflag", "l_linestatus", "l_linenumber"))):
+        views.define_rollup(name, "lines", lambda: base.table("lines"), key(*keys), {"quantity": F.col("l_quantity")})
+    views.rollup("lines", key("l_returnflag"), {"quantity": F.col("l_quantity")})
+    base.delete_where("lines", "l_linenumber == 7")
+    found, name = views.rollup("lines", key("l_returnflag"), {"quantity": F.col("l_quantity")})
+    return found.withColumn("view", F.lit(name))
+
+
 @query("SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 2) AS c_acctbal, c_mktsegment FROM customer")
 def delimited_round_trip(spark, sf_dir):
     """Delimited text, parsed by codes, to Parquet and back."""
@@ -390,7 +548,7 @@ WHERE r_name = 'ASIA' AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate
 
 def local_suppliers(spark, sf_dir) -> Query:
     """Revenue of a region's nations from local suppliers: a join of six relations."""
-    t = lambda name: scan(spark, sf_dir, name)
+    t = db(spark, sf_dir).query().from_table
     nations = t("nation").join(t("region").where("r_name == 'ASIA'"), method="block-nested-loops", expr="n_regionkey == r_regionkey")
     suppliers = t("supplier").join(nations, expr="s_nationkey == n_nationkey")
     orders = t("orders").where("o_orderdate >= timestamp('1996-01-01')").where("o_orderdate < timestamp('1997-01-01')")

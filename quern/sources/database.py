@@ -1,8 +1,9 @@
 """Databases: named relations with schemas, tuple-level changes, indexes and a catalog that survives restarts.
 
 A relation is a list of immutable Parquet files with a persistent row address ``_tid``.  Changes are copy-on-write by
-file: only files that hold an affected row are read and written again.  An index is an entry in a registry (key, whether
-unique or primary); lookups are predicates that Parquet statistics prune on a relation clustered by its key.
+file: only files that hold an affected row are read and written again; replaced files stay for frames that were made before, until
+``vacuum``.  An index is an entry in a registry (key, whether unique or primary); lookups are predicates that Parquet statistics prune
+on a relation clustered by its key, and unique keys are checked before anything is added or changed.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ class ParquetCatalog:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder, self.indexes = spark, folder, {}
+        self._tables: dict[str, DataFrame] = {}
 
     def query(self) -> Query:
         return Query(self)
@@ -48,7 +50,10 @@ class ParquetCatalog:
         return storage.exists(self.spark, f"{self.folder}/{name}.parquet")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A table's frame, made once: its schema and file list are read on the first use."""
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     def schema(self, name: str) -> Schema:
         return Schema.of(name, self.table(name))
@@ -87,7 +92,11 @@ class Database:
             self._flush(name)
         storage.write_text(self.spark, self._catalog, json.dumps({"relations": self.relations, "indexes": [asdict(i) for i in self.indexes.values()]}))
 
-    close = checkpoint
+    def close(self) -> None:
+        """Drops temporary relations and writes the rest."""
+        for name in [n for n, r in self.relations.items() if r.get("temporary")]:
+            self.remove_relation(name)
+        self.checkpoint()
 
     def query(self) -> Query:
         return Query(self)
@@ -116,9 +125,31 @@ class Database:
         self._buffers.pop(name, None)
         self.checkpoint()
         if not relation["external"] and not keep_files:
-            for f in relation["files"]:
+            for f in [*relation["files"], *relation.get("replaced", [])]:
                 storage.delete(self.spark, f)
 
+    def truncate(self, name: str) -> None:
+        """Takes all rows out of a relation; its schema, indexes and next address stay."""
+        self._buffers.pop(name, None)
+        self._replace(name, [], self._relation(name)["files"])
+
+    def vacuum(self, name: str) -> int:
+        """Removes a relation's replaced files; frames that read them must be done.  Returns how many."""
+        old = self._relation(name).pop("replaced", [])
+        self.checkpoint()
+        for f in old:
+            storage.delete(self.spark, f)
+        return len(old)
+
+    def store(self, frame: DataFrame | Query, name: str | None = None) -> str:
+        """Keeps an operator's output as a relation; without a name as a temporary one, which ``close`` drops.  Returns the name."""
+        df = frame.frame() if isinstance(frame, Query) else frame
+        temporary, name = name is None, name or f"temporary_{uuid.uuid4().hex}"
+        self.create_relation(name, [(f, str(t)) for f, t in Schema.of(name, df).types.items()])
+        self.relations[name]["temporary"] = temporary
+        self.insert_frame(name, df)
+        return name
+
     def attach_relation(self, name: str, folder: str) -> Schema:
         """Takes Parquet files as they are as a relation; row addresses are given by a rewrite on the first change."""
         if name in self.relations:
@@ -164,6 +195,10 @@ class Database:
     def table(self, name: str) -> DataFrame:
         return self.rows(name).drop(TID)
 
+    def direct(self, name: str) -> DataFrame:
+        """A plain scan of the files as they are, without held tuples; no pages are kept in memory by either scan."""
+        return self._stored_rows(name).drop(TID) if self._relation(name)["files"] else self.spark.createDataFrame([], self.schema(name).spark)
+
     def tuples(self, name: str) -> Iterator[Row]:
         """Rows one partition at a time."""
         return self.table(name).toLocalIterator()
@@ -184,11 +219,17 @@ class Database:
     def insert(self, name: str, *values) -> int:
         """Adds a tuple and returns its address.  Tuples are written in batches."""
         relation = self._relation(name)
-        if len(values) != len(self.schema(name).fields):
-            raise ValueError(f"{name} has {len(self.schema(name).fields)} fields")
+        fields = self.schema(name).fields
+        if len(values) != len(fields):
+            raise ValueError(f"{name} has {len(fields)} fields")
+        held = self._buffers.setdefault(name, [])
+        for index in self._unique(name):
+            at = [fields.index(c) for c in index.key]
+            key = tuple(values[i] for i in at)
+            if any(tuple(h[i + 1] for i in at) == key for h in held) or relation["files"] and not self._stored_rows(name).where(self._match(index, key)).isEmpty():
+                raise ValueError(f"{', '.join(index.key)} of {name} isn't unique")
         tid = relation["next"]
         relation["next"] += 1
-        held = self._buffers.setdefault(name, [])
         held.append((tid, *values))
         if len(held) >= BUFFER:
             self._flush(name)
@@ -204,12 +245,37 @@ class Database:
             self._add(name, df.select(TID, *(t.cast(F.col(n)).alias(n) for n, t in schema.types.items())))
 
     def insert_frame(self, name: str, df: DataFrame) -> None:
-        """Adds a frame's rows, matched to the fields by name."""
+        """Adds a frame's rows, matched to the fields by name; none, where a unique key would occur twice."""
         self._flush(name)
         relation, schema = self._relation(name), self.schema(name)
-        self._add(name, schema.conform(df).withColumn(TID, F.lit(relation["next"]) + F.monotonically_increasing_id()).select(TID, *schema.fields))
-        top = self.rows(name).agg(F.max(TID)).first()[0]
+        files = self._write(name, schema.conform(df).withColumn(TID, F.lit(relation["next"]) + F.monotonically_increasing_id()).select(TID, *schema.fields))
+        if not files:
+            return
+        new = self.spark.read.schema(self._stored(name)).parquet(*files)  # as written: a frame may give other rows when it is run again
+        try:
+            self._check_unique(name, new, [])
+        except ValueError:
+            for f in files:
+                storage.delete(self.spark, f)
+            raise
+        top = new.agg(F.max(TID)).first()[0]
         relation["next"] = max(relation["next"], (top if top is not None else -1) + 1)
+        relation["files"] += files
+        self.checkpoint()
+
+    def _unique(self, name: str) -> list[Index]:
+        return [i for i in self.indexes.values() if i.relation == name and i.unique]
+
+    def _stored_rows(self, name: str) -> DataFrame:
+        return self.spark.read.schema(self._stored(name)).parquet(*self._relation(name)["files"])
+
+    def _replace(self, name: str, new: list[str], old: list[str]) -> None:
+        """Puts new files in place of old ones, which stay on disk until ``vacuum``; an attached relation's are left alone."""
+        relation = self._relation(name)
+        relation["files"] = [f for f in relation["files"] if f not in old] + new
+        if not relation["external"]:
+            relation["replaced"] = relation.get("replaced", []) + list(old)
+        self.checkpoint()
 
     def _write(self, name: str, df: DataFrame) -> list[str]:
         folder = f"{self.folder}/{name}/{uuid.uuid4().hex}"
@@ -238,12 +304,7 @@ class Database:
             new = part.select(TID, *((F.when(hit, types[c].cast(change[c])).otherwise(F.col(c)) if c in change else F.col(c)).alias(c) for c in types))
         if change is not None:
             self._check_unique(name, new, old)
-        files = self._write(name, new)
-        relation["files"] = [f for f in relation["files"] if f not in old] + files
-        self.checkpoint()
-        if not relation["external"]:
-            for f in old:
-                storage.delete(self.spark, f)
+        self._replace(name, self._write(name, new), old)
         return sum(r["n"] for r in found)
 
     def delete(self, name: str, tid: int) -> int:
@@ -264,28 +325,37 @@ class Database:
 
     def create_index(self, relation: str, key: list[str], unique: bool = False, primary: bool = False) -> int:
         fields = self.schema(relation).project(relation, key).fields
-        same = [i for i in self.indexes.values() if i.relation == relation]
-        if any(i.key == fields for i in same):
-            raise ValueError(f"an index on {', '.join(key)} exists")
-        if primary and any(i.primary for i in same):
-            raise ValueError(f"{relation} has a primary index")
-        index = Index(max(self.indexes, default=0) + 1, relation, fields, unique or primary, primary)
+        return self.add_index(Index(max(self.indexes, default=0) + 1, relation, fields, unique or primary, primary))
+
+    def add_index(self, index: Index) -> int:
+        """Registers an index as it is, with its own id; refuses a second one on a key and a second primary one."""
+        self.schema(index.relation).project(index.relation, index.key)  # the fields are there
+        same = self.indexes_of(index.relation)
+        if index.id in self.indexes:
+            raise ValueError(f"index {index.id} exists")
+        if any(i.key == index.key for i in same):
+            raise ValueError(f"an index on {', '.join(index.key)} exists")
+        if index.primary and any(i.primary for i in same):
+            raise ValueError(f"{index.relation} has a primary index")
         if index.unique:
-            self._check_key(self.table(relation), index)
+            self._check_key(self.table(index.relation), index)
         self.indexes[index.id] = index
         self.checkpoint()
         return index.id
 
     def _check_key(self, df: DataFrame, index: Index) -> None:
-        if df.groupBy(*index.key).count().where("count > 1").limit(1).count():
+        if not df.groupBy(*index.key).count().where("count > 1").isEmpty():
             raise ValueError(f"{', '.join(index.key)} of {index.relation} isn't unique")
 
     def _check_unique(self, name: str, new: DataFrame, old: list[str]) -> None:
+        """Whether the new rows, in place of the old files, keep the unique keys: within themselves, and against the other files."""
         rest = [f for f in self._relation(name)["files"] if f not in old]
-        for index in self.indexes.values():
-            if index.relation == name and index.unique:
-                both = new if not rest else new.unionByName(self.spark.read.schema(self._stored(name)).parquet(*rest))
-                self._check_key(both, index)
+        for index in self._unique(name):
+            self._check_key(new, index)
+            if rest:
+                stored = self.spark.read.schema(self._stored(name)).parquet(*rest)
+                if not stored.join(new.select(*index.key), index.key, "left_semi").isEmpty():
+                    raise ValueError(f"{', '.join(index.key)} of {name} isn't unique")
 
     def remove_index(self, index_id: int) -> None:
         if index_id not in self.indexes:
@@ -353,14 +423,10 @@ class Database:
 
     def cluster(self, relation: str, key: list[str]) -> None:
         """Writes a relation again in ranges of a key, sorted, so that lookups and ranges read few row groups."""
-        entry, old = self._relation(relation), list(self._relation(relation)["files"])
-        files = self._write(relation, self.rows(relation).repartitionByRange(*key).sortWithinPartitions(*key))
-        entry["files"] = files
-        external, entry["external"] = entry["external"], False
+        rows = self.rows(relation)
+        self._replace(relation, self._write(relation, rows.repartitionByRange(*key).sortWithinPartitions(*key)), list(self._relation(relation)["files"]))
+        self._relation(relation)["external"] = False  # its files are the database's own now
         self.checkpoint()
-        if not external:
-            for f in old:
-                storage.delete(self.spark, f)
 
     # ---- functions
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def bucketed(df: DataFrame, name: str, key: list[str], buckets: int) -> DataFrame:
@@ -41,24 +42,50 @@ def cost_based(spark: SparkSession, on: bool = True) -> None:
 
 
 class MaterializedViews:
-    """Named results, stored on first use and replaced on refresh; queries name the view they want in place of its definition."""
+    """Named results, stored on first use, and made again where the files that they were made from have changed.
+
+    Rollups (sums by keys) are found by what they hold: ``rollup`` answers from the stored one with the fewest keys that has
+    the keys and sums asked for, and from the base where there is none.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         self.definitions: dict[str, Callable[[], DataFrame]] = {}
         self.versions: dict[str, int] = {}
+        self.sources: dict[str, list[str]] = {}
+        self.rollups: dict[str, tuple[str, dict[str, Column], dict[str, Column]]] = {}
+        self.bases: dict[str, Callable[[], DataFrame]] = {}
 
     def define(self, name: str, definition: Callable[[], DataFrame]) -> None:
         if name in self.definitions:
             raise ValueError(f"view {name} exists")
         self.definitions[name] = definition
 
+    def define_rollup(self, name: str, base: str, frame: Callable[[], DataFrame], keys: dict[str, Column], sums: dict[str, Column]) -> None:
+        """A view of the sums of a base, a frame known by name, by keys."""
+        self.define(name, lambda: frame().groupBy(*(k.alias(n) for n, k in keys.items())).agg(*(F.sum(v).alias(n) for n, v in sums.items())))
+        self.rollups[name], self.bases[base] = (base, keys, sums), frame
+
     def refresh(self, name: str) -> None:
-        version = self.versions.get(name, 0) + 1
-        self.definitions[name]().write.parquet(f"{self.folder}/{name}/v{version}")
+        version, df = self.versions.get(name, 0) + 1, self.definitions[name]()
+        self.sources[name] = sorted(df.inputFiles())
+        df.write.parquet(f"{self.folder}/{name}/v{version}")
         self.versions[name] = version
 
+    def stale(self, name: str) -> bool:
+        """Whether the view isn't stored, or was made from other files than its definition reads now."""
+        return name not in self.versions or sorted(self.definitions[name]().inputFiles()) != self.sources[name]
+
     def frame(self, name: str) -> DataFrame:
-        if name not in self.versions:
+        if self.stale(name):
             self.refresh(name)
         return self.spark.read.parquet(f"{self.folder}/{name}/v{self.versions[name]}")
+
+    def rollup(self, base: str, keys: dict[str, Column], sums: dict[str, Column]) -> tuple[DataFrame, str | None]:
+        """Sums of a base by keys, and the name of the view that they come from, if any.  Columns are told by their names."""
+        fit = [n for n, (b, k, v) in self.rollups.items() if b == base and keys.keys() <= k.keys() and sums.keys() <= v.keys()]
+        if not fit:
+            rows = self.bases[base]()
+            return rows.groupBy(*(k.alias(n) for n, k in keys.items())).agg(*(F.sum(v).alias(n) for n, v in sums.items())), None
+        name = min(fit, key=lambda n: (len(self.rollups[n][1]), n))
+        return self.frame(name).groupBy(*keys).agg(*(F.sum(n).alias(n) for n in sums)), name

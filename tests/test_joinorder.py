@@ -71,3 +71,30 @@ def test_columns_keep_their_order_and_cross_products(spark):
         out = jo.optimize(q, planner)[0].frame()
         assert out.columns == ["x", "y", "z"] and out.count() == 6
     assert set(compare_planners(q)) == set(jo.PLANNERS)
+
+
+@pytest.mark.parametrize("planner", list(jo.PLANNERS))
+def test_methods_survive(spark, planner):
+    from quern.sources.database import ParquetCatalog
+
+    base = ParquetCatalog(spark, "/root/testdata/sf0.001")
+    index = base.create_index("customer", ["c_custkey"], unique=True)
+    t = base.query().from_table
+    q = t("lineitem").join(t("orders"), method="hash", expr="l_orderkey == o_orderkey").join(t("customer"), method="indexed", indexId=index, left_keys=["o_custkey"])
+    q = q.join(t("nation"), method="block-nested-loops", expr="c_nationkey == n_nationkey")
+    planned = jo.optimize(q, planner)[0]
+    ops = [op for _, op in planned.finalize().flatten()]
+    assert "HashJoin" in ops and "BNLJoin" in ops
+    if planner == "left-deep":
+        assert {n.info["method"] for n in planned.finalize().joins()} >= {"hash", "block-nested-loops"}
+    assert planned.frame().count() == q.frame().count() and planned.frame().columns == q.frame().columns
+
+
+def test_rows_come_from_footers(spark):
+    from quern.plans.stats import cardinality
+    from quern.sources.database import ParquetCatalog
+
+    t = ParquetCatalog(spark, "/root/testdata/sf0.01").query().from_table
+    for name in ("orders", "customer", "nation"):
+        assert abs(cardinality(t(name).node) / t(name).frame().count() - 1) < 0.01
+    assert cardinality(t("orders").where("o_custkey == 3 and o_totalprice > 5").node) < 0.05 * t("orders").frame().count()

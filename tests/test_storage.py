@@ -3,7 +3,7 @@ import pytest
 from quern.functions.types import Schema
 from quern.plans import workload
 from quern.sources import delimited, layout, storage
-from quern.sources.database import Database, ParquetCatalog
+from quern.sources.database import Database, Index, ParquetCatalog
 
 FIELDS = [("id", "int"), ("age", "int"), ("salary", "double")]
 
@@ -85,6 +85,61 @@ def test_unique_index_needs_unique_keys(db):
         db.create_index("employee", ["id"], unique=True)
 
 
+def test_unique_keys_on_insert(spark, db):
+    db.create_index("employee", ["id"], primary=True)
+    with pytest.raises(ValueError, match="unique"):
+        db.insert("employee", 3, 1, 1.0)
+    db.insert("employee", 60, 1, 1.0)
+    with pytest.raises(ValueError, match="unique"):
+        db.insert("employee", 60, 2, 2.0)  # still held
+    for rows in ([(5, 0, 0.0)], [(70, 0, 0.0), (70, 0, 0.0)], [(60, 0, 0.0)]):
+        with pytest.raises(ValueError, match="unique"):
+            db.insert_frame("employee", spark.createDataFrame(rows, "id int, age int, salary double"))
+    assert ids(db.table("employee")) == [*range(10), 60] and db.lookup_key("employee", 60).age == 1
+
+
+def test_addresses_after_a_restart(spark, db):
+    db.insert_frame("employee", spark.range(100, 140, numPartitions=4).selectExpr("int(id) AS id", "1 AS age", "0.5D AS salary"))
+    again = Database(spark, db.folder)  # without a close
+    for i in range(5):
+        again.insert("employee", 200 + i, 1, 1.0)
+    found = [r._tid for r in again.rows("employee").collect()]
+    assert len(found) == len(set(found)) == 55
+
+
+def test_frames_outlive_changes_until_vacuum(db):
+    db.checkpoint()
+    before = db.table("employee")
+    db.delete_where("employee", "id < 5")
+    db.cluster("employee", ["age"])
+    assert ids(before) == list(range(10)) and ids(db.table("employee")) == [5, 6, 7, 8, 9]
+    assert db.vacuum("employee") > 0 and db.vacuum("employee") == 0 and ids(db.table("employee")) == [5, 6, 7, 8, 9]
+
+
+def test_truncate_and_store(spark, db):
+    db.truncate("employee")
+    assert db.table("employee").count() == 0 == db.direct("employee").count() and db.insert("employee", 1, 2, 3.0) == 10
+    name = db.store(db.query().from_table("employee").where("id == 1"))
+    assert ids(db.table(name)) == [1] and db.store(db.table("employee"), "kept") == "kept"
+    db.close()
+    assert Database(spark, db.folder).relation_names() == ["employee", "kept"]
+
+
+def test_add_index(db):
+    assert db.add_index(Index(7, "employee", ["age"])) == 7 and db.create_index("employee", ["id"], primary=True) == 8
+    for bad in (Index(7, "employee", ["salary"]), Index(9, "employee", ["age"]), Index(9, "employee", ["salary"], True, True), Index(9, "employee", ["nope"])):
+        with pytest.raises(ValueError):
+            db.add_index(bad)
+
+
+def test_views_are_made_again_when_stale(db):
+    views = layout.MaterializedViews(db.spark, db.folder + "/views")
+    views.define("ages", lambda: db.table("employee").where("age > 30"))
+    assert views.stale("ages") and views.frame("ages").count() == 4 and not views.stale("ages")
+    db.delete_where("employee", "age == 38")
+    assert views.stale("ages") and views.frame("ages").count() == 3 and views.versions["ages"] == 2
+
+
 def test_restart(spark, db):
     db.create_index("employee", ["id"], primary=True)
     db.cluster("employee", ["age"])
