@@ -331,21 +331,21 @@ def word_counts(docs: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def dictionary(docs: DataFrame, pieces: Pieces, most: int = DICTIONARY) -> dict[str, bytes]:
-    """The ids (as little-endian 32-bit bytes) of the commonest words, at most ``most`` of them, by key or word.
+    """The ids (as little-endian 32-bit bytes) of the commonest words, about ``most`` of them at most, by key or word.
 
-    Words are taken by a least count, found from a histogram of the counts' logarithms, so no task sorts them all.
+    Words are taken by bands of their counts' logarithms, from a histogram, so no task sorts them all; the band that fills
+    the dictionary gives a share of its words.
     """
     counts = materialize(word_counts(docs, pieces).where((F.length("word") <= LONGEST) & (F.col("n") > 1)), "words")
     level = F.floor(F.log2(F.col("n").cast("double")) * 16)
     bars = sorted(((r["level"], r["n"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)  # at most 64 * 16 rows
-    least, total = None, 0
+    chosen, room = F.lit(False), most
     for at, n in bars:
-        if (total := total + n) > most:
+        if n > room:  # of the band that doesn't fit as many as there is room for, by their hashes
+            chosen = chosen | ((level == at) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < room * (1 << 20) // n))
             break
-        least = at
-    if least is None:
-        return {}
-    solved = solve(counts.where(level >= least).select("word"), pieces).toArrow()  # at most ``most`` rows
+        chosen, room = chosen | (level == at), room - n
+    solved = solve(counts.where(chosen).select("word"), pieces).toArrow()  # about ``most`` rows
     out: dict[str, bytes] = {}
     splits = pieces.splits
     feed = np.array(pieces.characters([pieces.normal["\n"][0] if "\n" in pieces.normal else -11]), "<u4").tobytes()

@@ -106,6 +106,13 @@ def test_fuzzed_texts_against_the_library(spark):
         assert (r.ids, r.round_trip) == (SP.encode(text), True), text
 
 
+def test_a_band_that_is_too_large_fills_the_dictionary(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{k:04d}x" for k in range(3000)) + " the the the") for i in range(2)], "doc_id long, text string")
+    known = pl.dictionary(docs, PIECES, most=500)
+    assert 350 < len(known) < 650 and "the" in known
+    assert all(np.frombuffer(ids, "<u4").tolist() == SP.encode(w) for w, ids in known.items())
+
+
 def test_query_against_the_library(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     got = pl.op10(spark, "/root/testdata/sf0.001").collect()
