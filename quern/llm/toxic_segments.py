@@ -9,7 +9,7 @@
 * All maximal-scoring segments of a text are found in time linear in its tokens (Ruzzo and Tompa, 1999).
 * Segment scores follow an extreme-value law (Karlin and Altschul, 1990): a text of n tokens is expected to have
   K n exp(-lambda S) segments of score S or more by chance.  Lambda solves the moment equation over the background's
-  scores, K is counted on background documents.  Significant segments are toxic passages; a document's evidence is the
+  scores, K is counted on background documents, less a share for wrong labels, as K follows the highest score.  Significant segments are toxic passages; a document's evidence is the
   sum of their normalised scores, brought to a probability by a logistic fit on labelled documents kept apart.
 
 Learning: a bounded sample of labelled rows (``bound``); the model holds only significant tokens of that sample, so its
@@ -39,6 +39,8 @@ PREFIXES = (6, 5, 4)
 COMMON = 3
 #: Weight of the prior against the counts, least z-value of a positive score, least positive score, least score, cost of a token.
 PRIOR, LEAST_Z, LEAST_SCORE, LOWEST, DRIFT = 0.05, 3.0, 1.0, -1.0, 0.05
+#: Share of the background's documents, those of the highest segments, that may have a wrong label and don't count for K.
+NOISE = 0.002
 #: Chance of a segment by which it counts as a toxic passage.
 SIGNIFICANCE = 0.01
 #: Labelled rows to learn from, at most.
@@ -238,7 +240,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
 
 def calibrate(model: Model, measured: list[tuple[int, float, int, list[float]]], n0: float, n1: float) -> None:
     """Sets K and the logistic weights from (y, weight, tokens, segments' scores) of documents kept apart."""
-    chance = sorted((x for y, _, _, s in measured if not y for x in s), reverse=True)
+    background = sorted((s for y, _, _, s in measured if not y), key=lambda s: -max(s, default=0.0))
+    chance = sorted((x for s in background[int(len(background) * NOISE):] for x in s), reverse=True)
     envelope = max([1.0, *((i + 1) * math.exp(model.lam * x) for i, x in enumerate(chance))])
     model.k = envelope / max(1, sum(n for y, _, n, _ in measured if not y))  # covers the background's tail at every score
     xs = []

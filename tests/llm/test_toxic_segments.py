@@ -97,6 +97,17 @@ def test_whole_query_against_brute_force(spark):
     assert got[0].score > 0.5 > got[1].score
 
 
+def test_a_wrong_label_does_not_hide_toxic_texts():
+    """One of a thousand clean documents holds the worst passage of all."""
+    rng = random.Random(4)
+    clean = [(0, 1.0, 500, [rng.random() * 3 for _ in range(rng.randint(0, 2))]) for _ in range(1000)] + [(0, 1.0, 500, [85.0])]
+    toxic = [(1, 1.0, 500, [10 + 10 * rng.random()]) for _ in range(100)]
+    model = ts.Model({}, lam=1.2)
+    ts.calibrate(model, sorted(clean + toxic), 1001.0, 100.0)
+    x = [model.lam * s - math.log(model.k * 500) for s in (10.0, 3.0)]
+    assert ts.chance_of(x[0]) < ts.SIGNIFICANCE < ts.chance_of(x[1]) and model.probability(x[0]) > 0.5 > model.probability(0.0)
+
+
 def test_a_clean_and_a_toxic_text_of_one_least_shingle_are_both_kept(spark, monkeypatch):
     seen = []
     base = " ".join(f"word{i}" for i in range(300))
