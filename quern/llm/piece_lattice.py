@@ -339,12 +339,12 @@ def dictionary(docs: DataFrame, pieces: Pieces, most: int = DICTIONARY) -> dict[
     counts = materialize(word_counts(docs, pieces).where((F.length("word") <= LONGEST) & (F.col("n") > 1)), "words")
     level = F.floor(F.log2(F.col("n").cast("double")) * 16)
     bars = sorted(((r["level"], r["n"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)  # at most 64 * 16 rows
-    chosen, room = F.lit(False), most
+    chosen, room = F.lit(True), most
     for at, n in bars:
         if n > room:  # of the band that doesn't fit as many as there is room for, by their hashes
-            chosen = chosen | ((level == at) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < room * (1 << 20) // n))
+            chosen = (level > at) | ((level == at) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < room * (1 << 20) // n))
             break
-        chosen, room = chosen | (level == at), room - n
+        room -= n
     solved = solve(counts.where(chosen).select("word"), pieces).toArrow()  # about ``most`` rows
     out: dict[str, bytes] = {}
     splits = pieces.splits
