@@ -98,3 +98,22 @@ def test_rows_come_from_footers(spark):
     for name in ("orders", "customer", "nation"):
         assert abs(cardinality(t(name).node) / t(name).frame().count() - 1) < 0.01
     assert cardinality(t("orders").where("o_custkey == 3 and o_totalprice > 5").node) < 0.05 * t("orders").frame().count()
+
+
+def test_distinct_values(spark, tmp_path):
+    from quern.plans.stats import distinct_values
+    from quern.sources.database import ParquetCatalog
+
+    spark.range(0, 4000, 1, 4).selectExpr("id AS k", "id % 25 AS few", "id % 7 * 1000000000 AS apart", "concat('s', id % 9) AS s", "CAST(NULL AS int) AS none").write.parquet(f"{tmp_path}/t.parquet")
+    t = ParquetCatalog(spark, str(tmp_path)).query().from_table("t")
+    assert [distinct_values(t.where("few > 3").node, c) for c in ("k", "few", "apart", "s", "none")] == [pytest.approx(4000, rel=0.01), 25, 7, 9, 1]
+    assert distinct_values(t.select({"few": ("few * k", "long")}).node, "few") is None
+    assert distinct_values(Query(spark).from_frame(t.frame().selectExpr("few * k AS few")).node, "few") is None
+
+
+@pytest.mark.parametrize("planner", ["bushy", "greedy"])
+def test_columns_of_few_values_join_no_large_tables(spark, planner):
+    from quern.plans.catalogue import local_suppliers
+
+    planned = jo.optimize(local_suppliers(spark, "/root/testdata/sf0.1"), planner)[0].finalize()
+    assert all(n.info["expr"] not in ("c_nationkey == s_nationkey", "s_nationkey == c_nationkey") for n in planned.joins())
