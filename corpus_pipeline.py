@@ -9,17 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import golay_simhash, mil_quality, packing, resemblance, toxic_segments
-from quern.llm.common import discard, materialize, table
+from quern.llm.common import discard, materialize, small_batches, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents with toxic passages; learns from the labelled documents of ``sf_dir``."""
+    small_batches(spark)
     model = toxic_segments.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxic_segments.without_toxic(docs, model)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents of low quality; learns from the labelled documents of ``sf_dir``."""
+    small_batches(spark)
     model = mil_quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return mil_quality.of_quality(docs, model)
 
@@ -30,11 +32,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     SimHash fingerprints of the shingles and their Golay keys propose the links within three bits, minimum hashes those
     beyond; all links are verified.
     """
+    small_batches(spark)
     return golay_simhash.one_of_each_group(docs, resemblance.near_duplicates)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents that are left into sequences of at most 2048 tokens."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

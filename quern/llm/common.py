@@ -17,6 +17,16 @@ from ..sources.storage import filesystem
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 #: Rows, and bytes of their texts, that are Python objects at a time.
 MAX_BATCH, MAX_BYTES = 1000, 16 << 20
+#: Bytes of rows that a task hands to Python at a time.  Spark holds a batch several times off the heap, and its default is 64 MB.
+HANDED_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession, size: int = HANDED_BYTES) -> None:
+    """From now on the session hands Python batches of at most about ``size`` bytes, or of one larger row; a smaller limit of its own stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(name, None)
+    if own is None or spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(own) > size:
+        spark.conf.set(name, str(size))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = MAX_BATCH, size: int = MAX_BYTES) -> Iterator[pa.RecordBatch]:

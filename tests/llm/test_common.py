@@ -45,3 +45,12 @@ def test_fresh_names():
 def test_materialize_cuts_the_plan(spark):
     df = common.materialize(spark.range(100).groupBy((F.col("id") % 3).alias("k")).count(), "t")
     assert df.count() == 3 and "Aggregate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_smaller_batches_of_the_session_stay(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for own, want in (("64MB", str(common.HANDED_BYTES)), ("1m", "1m")):
+        spark.conf.set(name, own)
+        common.small_batches(spark)
+        assert spark.conf.get(name) == want
+    spark.conf.unset(name)

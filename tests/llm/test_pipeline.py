@@ -1,7 +1,9 @@
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cpl
-from quern.llm import mil_quality, packing, toxic_segments
+from quern.llm import golay_simhash, mil_quality, packing, toxic_segments
 from quern.llm.common import table
 
 from .test_resemblance import plain_components
@@ -48,3 +50,18 @@ def test_stages_keep_the_columns(spark, rows):
     assert sorted(r.doc_id for r in out if r.doc_id is not None) == ([1, 3] if rows else [])
     assert len(out) == (2 if rows else 0)
     assert cpl.pack(spark, docs, SF).count() == len(rows)
+
+
+@pytest.mark.parametrize("stage", [f for _, f in cpl.STAGES], ids=[n for n, _ in cpl.STAGES])
+def test_long_texts_are_handed_over_in_small_batches(spark, stage, monkeypatch):
+    def seen(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "bytes"])
+
+    for module, name in ((toxic_segments, "without_toxic"), (mil_quality, "of_quality"), (golay_simhash, "one_of_each_group"), (packing, "pack")):
+        monkeypatch.setattr(module, name, lambda docs, *_: docs.mapInArrow(seen, "rows long, bytes long"))
+        monkeypatch.setattr(module, "fit", lambda *_: None, raising=False)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(0, 400, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abcdefghij"), 6000).alias("text"))  # 24 MB
+    got = stage(spark, docs, SF).collect()
+    assert sum(r.rows for r in got) == 400 and max(r.bytes for r in got) < 9 << 20
