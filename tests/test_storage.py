@@ -228,3 +228,17 @@ def test_streams(spark, tmp_path):
     df.write.mode("append").parquet(f"file://{tmp_path}/in")
     run()
     assert ids(spark.read.parquet(f"file://{tmp_path}/out")) == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4]
+
+
+def test_large_row_groups_keep_no_buffers_off_the_heap(spark, tmp_path):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n = 4_000_000
+    pq.write_table(pa.table({"x": np.random.default_rng(1).integers(0, 1 << 62, n)}), f"{tmp_path}/t.parquet", row_group_size=n, use_dictionary=False)
+    beans = spark._jvm.java.lang.management.ManagementFactory.getPlatformMXBeans(spark._jvm.java.lang.Class.forName("java.lang.management.BufferPoolMXBean"))
+    pool = next(b for b in beans if b.getName() == "direct")
+    before = pool.getMemoryUsed()
+    assert ParquetCatalog(spark, f"file://{tmp_path}").table("t").where("x % 2 = 0").count() > 0
+    assert pool.getMemoryUsed() - before < 8 << 20  # the column has 32 MB
