@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import golay_simhash, mil_quality, packing, resemblance, toxic_segments
-from quern.llm.common import discard, materialize, small_batches, table
+from quern.llm.common import discard, materialize, plain_reads, small_batches, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents with toxic passages; learns from the labelled documents of ``sf_dir``."""
     small_batches(spark)
+    plain_reads(spark)
     model = toxic_segments.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxic_segments.without_toxic(docs, model)
 
@@ -22,6 +23,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents of low quality; learns from the labelled documents of ``sf_dir``."""
     small_batches(spark)
+    plain_reads(spark)
     model = mil_quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return mil_quality.of_quality(docs, model)
 
@@ -33,12 +35,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     beyond; all links are verified.
     """
     small_batches(spark)
+    plain_reads(spark)
     return golay_simhash.one_of_each_group(docs, resemblance.near_duplicates)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents that are left into sequences of at most 2048 tokens."""
     small_batches(spark)
+    plain_reads(spark)
     return packing.pack(docs)
 
 

@@ -29,6 +29,11 @@ def small_batches(spark: SparkSession, size: int = HANDED_BYTES) -> None:
         spark.conf.set(name, str(size))
 
 
+def plain_reads(spark: SparkSession) -> None:
+    """From now on the session reads Parquet without vectored reads, which take a row group's column at once through a buffer off the heap that each thread keeps."""
+    spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = MAX_BATCH, size: int = MAX_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most ``rows`` rows and, beyond a single row, ``size`` bytes of text."""
     for batch in batches:

@@ -44,6 +44,8 @@ GOLAY = 0b110001110101
 SEGMENTS = ((43, 21), (22, 21), (0, 22))
 #: Fingerprints of a key that a task compares; those of more common keys are dealt again by second keys.
 RUN = 20_000
+#: Links that a file of a round of ``components`` holds, about, and the files that a round may have however few links there are.
+FILE_LINKS, FILES = 100_000, 16
 
 
 # ---- fingerprints
@@ -268,7 +270,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for each node of the links (a < b) that isn't its own root.
 
     Alternates large-star and small-star (Kiveris and others, 2014) until the links stay as they are; every round is
-    written to shared storage in place of the one before.  Rounds grow with the logarithm of the longest path.
+    written to shared storage in place of the one before.  Rounds grow with the logarithm of the longest path.  A round
+    is written in as many files as its links need and not one for each shuffle partition, as each costs requests, or processes
+    that the executor forks where storage is a local folder.
     """
     edges = materialize(edges, "links")
     state, before = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first(), None
@@ -278,7 +282,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("n"), "m").where("n <> m").distinct()
         parent = large.groupBy("n").agg(F.min("m").alias("m"))
         small = large.join(parent.withColumnRenamed("m", "r"), "n").select(F.explode(F.array("n", "m")).alias("n"), "r").where("n <> r")
-        former, edges = edges, materialize(small.select(F.col("r").alias("a"), F.col("n").alias("b")).distinct(), "links")
+        files = max(FILES, -(-state[0] // FILE_LINKS))
+        former, edges = edges, materialize(small.select(F.col("r").alias("a"), F.col("n").alias("b")).distinct().coalesce(files), "links")
         discard(former)
         before, state = state, edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     out = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))

@@ -114,3 +114,24 @@ def test_common_keys_are_dealt_again(spark):
 def test_columns_keep_their_values(spark):
     docs = spark.createDataFrame([(1, "a b c d", 7, "x"), (2, "a b c d", 8, "y"), (None, "q r s", 9, "z")], "doc_id long, text string, __quern_key int, __QUERN_TEXT string")
     assert sorted(map(tuple, gs.one_of_each_group(docs).collect()), key=str) == sorted([(1, "a b c d", 7, "x"), (None, "q r s", 9, "z")], key=str)
+
+
+def test_rounds_of_components_write_few_files(spark, monkeypatch):
+    written = []
+
+    def counted(df, label, real=gs.materialize):
+        out = real(df, label)
+        written.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(gs, "materialize", counted)
+    edges = spark.range(100).selectExpr("id * 7 AS a", "id * 7 + 7 AS b")  # a path
+    for name, value in (("spark.sql.shuffle.partitions", "60"), ("spark.sql.adaptive.coalescePartitions.enabled", "false")):
+        spark.conf.set(name, value)
+    try:
+        got = gs.components(edges).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(tuple(r) for r in got) == [(7 * i, 0) for i in range(1, 101)]
+    assert len(written) > 2 and max(written[1:]) <= gs.FILES

@@ -65,3 +65,13 @@ def test_long_texts_are_handed_over_in_small_batches(spark, stage, monkeypatch):
     docs = spark.range(0, 400, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abcdefghij"), 6000).alias("text"))  # 24 MB
     got = stage(spark, docs, SF).collect()
     assert sum(r.rows for r in got) == 400 and max(r.bytes for r in got) < 9 << 20
+
+
+@pytest.mark.parametrize("stage", [f for _, f in cpl.STAGES], ids=[n for n, _ in cpl.STAGES])
+def test_stages_read_without_vectored_reads(spark, stage, monkeypatch):
+    for module, name in ((toxic_segments, "without_toxic"), (mil_quality, "of_quality"), (golay_simhash, "one_of_each_group"), (packing, "pack")):
+        monkeypatch.setattr(module, name, lambda docs, *_: docs)
+        monkeypatch.setattr(module, "fit", lambda *_: None, raising=False)
+    spark.conf.unset("parquet.hadoop.vectored.io.enabled")
+    stage(spark, table(spark, SF, "documents"), SF)
+    assert spark.conf.get("parquet.hadoop.vectored.io.enabled") == "false"
